@@ -74,12 +74,14 @@ def located(text: Column, pattern: str, hint: str | None = None) -> Column:
     return spans if hint is None else F.when(text.rlike(hint), spans).otherwise(F.array().cast(_SPAN))
 
 
+def _of_kind(text: Column, kind: str) -> Column:
+    good = F.filter(located(text, PATTERNS[kind], HINTS[kind]), lambda s: valid(kind, s["surface"]))
+    return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["surface"].alias("surface")))
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the fixed forms, by kind as listed, then start: array of (kind, start, stop, surface)."""
-    kinds = [
-        F.transform(F.filter(located(text, PATTERNS[k], HINTS[k]), lambda s, k=k: valid(k, s["surface"])), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["surface"].alias("surface")))
-        for k in KINDS
-    ]
+    kinds = [_of_kind(text, k) for k in KINDS]
     return F.concat(*kinds)
 
 
@@ -141,7 +143,8 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     added = loose.join(accepted, "context").groupBy("id", "text_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
     out = found.alias("f").join(added.alias("a"), F.col("f.id").eqNullSafe(F.col("a.id")) & (F.col("f.text_key") == F.col("a.text_key")), "left")
     every = F.concat(F.col("base"), F.coalesce(F.col("added"), F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
-    ordered = F.flatten(F.array(*[F.array_sort(F.filter(every, lambda s, k=k: s["kind"] == k)) for k in KINDS]))
+    of = lambda k: F.array_sort(F.filter(every, lambda s: s["kind"] == k))
+    ordered = F.flatten(F.array(*map(of, KINDS)))
     return out.select(F.col("f.id").alias(id_col), F.col("f.text_key").alias("text_key"), "base", ordered.alias("spans"))
 
 
