@@ -269,8 +269,8 @@ def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col
     classes = classes.select(F.col(id_col).alias("id"), "class_id")
     gone = materialise(classes.where("id is not null and id <> class_id").select("id").distinct(), "dropped")
     again = classes.where("id is not null").groupBy("id").count().where("count > 1").select("id")
-    names = df.columns
-    rows = marked(df.withColumnRenamed(id_col, "id"), gone.union(again))
+    packed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = marked(packed, gone.union(again))
     sure = rows.where(~F.col("_mark"))
-    rest = rows.where("_mark").join(gone, "id", "left_anti").dropDuplicates(["id", text_col])
-    return sure.unionByName(rest).withColumnRenamed("id", id_col).select(*names)
+    rest = rows.where("_mark").join(gone, "id", "left_anti").dropDuplicates(["id", "text"])
+    return sure.unionByName(rest).select("row.*")

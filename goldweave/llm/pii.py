@@ -130,6 +130,12 @@ def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidenc
     return materialise(best.select("context", F.col("b.kind").alias("kind")), "accepted")
 
 
+def added_spans(found: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(id, text_key, added): the candidates behind accepted patterns, whose number is not bounded, so this join is shuffled."""
+    loose = found.select("id", "text_key", F.explode("instances").alias("x")).where(F.col("x.kind").isNull()).select("id", "text_key", "x.context", "x.start", "x.stop")
+    return loose.join(accepted, "context").groupBy("id", "text_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
+
+
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``text_key``, ``base`` and ``spans`` (kind, start, stop), by kind as listed, then start.
 
@@ -138,9 +144,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = materialise(with_spans(df, id_col, text_col), "personal")
     accepted = bootstrap(found)
-    # every candidate behind an accepted pattern; the patterns of a corpus are not bounded, so this is a shuffled join
-    loose = found.select("id", "text_key", F.explode("instances").alias("x")).select("id", "text_key", "x.context", "x.kind", "x.start", "x.stop").where(F.col("kind").isNull()).drop("kind")
-    added = loose.join(accepted, "context").groupBy("id", "text_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
+    added = added_spans(found, accepted)
     out = found.alias("f").join(added.alias("a"), F.col("f.id").eqNullSafe(F.col("a.id")) & (F.col("f.text_key") == F.col("a.text_key")), "left")
     every = F.concat(F.col("base"), F.coalesce(F.col("added"), F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
     of = lambda k: F.array_sort(F.filter(every, lambda s: s["kind"] == k))
@@ -183,14 +187,13 @@ def mask_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     accepted = bootstrap(found)
     plain = lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["stop"].alias("stop"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kind = "array<struct<kind:string,start:int,stop:int>>"
-    rows = df.withColumn("_base", F.transform(base_spans(text), plain))
+    none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.transform(base_spans(text), plain).alias("base"))
     if accepted.isEmpty():
-        rows = rows.withColumn("_added", F.array().cast(kind))
+        rows = rows.withColumn("added", none)
     else:
-        loose = found.select("id", "text_key", F.explode("instances").alias("x")).select("id", "text_key", "x.context", "x.kind", "x.start", "x.stop").where(F.col("kind").isNull()).drop("kind")
-        added = loose.join(accepted, "context").groupBy("id", "text_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("_added"))
-        rows = rows.withColumn("_key", F.xxhash64(text))
-        rows = rows.join(added, rows[id_col].eqNullSafe(added["id"]) & (rows["_key"] == added["text_key"]), "left").drop("id", "text_key", "_key") if id_col != "id" else rows.withColumnRenamed("id", "_id").join(added, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("text_key")), "left").drop("id", "text_key", "_key").withColumnRenamed("_id", "id")
-    spans = F.concat("_base", F.coalesce("_added", F.array().cast(kind)))
-    return rows.withColumn(text_col, masked(F.col(text_col), spans)).select(*df.columns)
+        added = added_spans(found, accepted)
+        same = F.col("r.id").eqNullSafe(F.col("a.id")) & (F.col("r.text_key") == F.col("a.text_key"))
+        rows = rows.alias("r").join(added.alias("a"), same, "left").select("row", "base", "added")
+    spans = F.concat("base", F.coalesce("added", none))
+    return rows.select(F.col("row").withField(text_col, masked(F.col("row")[text_col], spans)).alias("row")).select("row.*")
