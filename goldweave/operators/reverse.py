@@ -148,6 +148,20 @@ class Reverse:
         parts = [f"`{f.source}`:string" for f in lines] + [f"`{c.array[0]}`:{self.type(c)}" for c in self.doc.children(m.name) if c.array]
         return f"array<struct<{','.join(parts)}>>"
 
+    def typed(self, m: Mapping, items: Column) -> Column:
+        """Elements for writing: values of numeric, boolean and JSON fields are JSON values, all others text."""
+        lines = self.lines(m)
+        inner = [c for c in self.doc.children(m.name) if c.array]
+        kinds = [(self.kind(m, f) or "string").lower() for f in lines]
+        if any(f.scalar for f in lines) or not inner and not {"numeric", "integer", "boolean", "jsonb"} & set(kinds):
+            return items
+
+        def shape(x: Column) -> Column:
+            parts = [(F.try_parse_json(x[f.source]) if k in ("numeric", "integer", "boolean", "jsonb") else x[f.source]).alias(f.source) for f, k in zip(lines, kinds, strict=True)]
+            return F.struct(*parts, *[self.typed(c, x[c.array[0]]).alias(c.array[0]) for c in inner])
+
+        return F.transform(items, shape)
+
     def own_elements(self, m: Mapping, text: Column) -> Column:
         """A source's own array in the shape of ``elements``: mapped keys only, values canonical."""
         lines = self.lines(m)
@@ -225,7 +239,7 @@ class Reverse:
                 continue
             items = F.coalesce(F.col(f"a_{c.name}"), F.array().cast(self.type(c)))
             differs.append(~items.eqNullSafe(self.own_elements(c, own(c.array[0]))))
-            whole = items
+            whole = self.typed(c, items)
             for step in reversed(c.array[1:]):
                 whole = F.array(F.struct(whole.alias(step)))
             pairs.append((c.array[0], F.to_json(whole, {"ignoreNullFields": "false"})))
