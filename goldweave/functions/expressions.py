@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -229,15 +231,12 @@ def _curated_step(c: Column, step: Any) -> Column:
     if name == "null_as":
         return F.coalesce(c, F.lit(str(arg if not isinstance(arg, dict) else arg.get("value", ""))))
     if name in ("unicode_nfc", "ascii_fold"):
-        import unicodedata
-
-        import pandas as pd
-
         form = "NFC" if name == "unicode_nfc" else "NFKD"
 
         @F.pandas_udf("string")
         def fold(s: pd.Series) -> pd.Series:
-            return s.map(lambda v: None if v is None else (x := unicodedata.normalize(form, v)) if form == "NFC" else unicodedata.normalize(form, v).encode("ascii", "ignore").decode())
+            plain = s.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
+            return plain if form == "NFC" else plain.map(lambda v: v.encode("ascii", "ignore").decode(), na_action="ignore")
 
         return fold(c)
     raise ExpressionError(f"unknown normaliser {name!r}")

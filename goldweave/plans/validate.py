@@ -21,7 +21,7 @@ def schema_errors(raw: Any) -> list[tuple[str, str]]:
         kind = dialect(raw)
     except DocumentError as e:
         out += e.errors
-        kind = "2" if str(raw.get("version", "")).startswith("2") else "1"
+        kind = "1" if str(raw.get("version", "")).startswith("1") else "2"
     keys = KEYS[kind]
 
     def known(value: Any, what: str, path: str, required: tuple[str, ...] = ()) -> bool:
