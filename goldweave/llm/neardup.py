@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldweave.llm.common import byte_runs, materialise, table
+from goldweave.operators.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -156,53 +157,97 @@ def marked(rows: DataFrame, ids: DataFrame, log_words: int = 16) -> DataFrame:
     return out.withColumn("_mark", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_place", "_word", "_bits")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough; ``rows``: ids and texts of all documents."""
-    wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    few = marked(rows, wanted).where("_mark").drop("_mark").join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    few = materialise(few, "candidate_texts")
-    both = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(few.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+def joined(bags: list[tuple[np.ndarray, np.ndarray]], threshold: float, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges (i, j) that span the components of the bags under similarity ``threshold`` or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bags: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # neighbouring pairs often share a text
-            keep = []
-            for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
-                if len(bags) > 64:
-                    bags.clear()
-                for t in (x, y):
-                    if t not in bags:
-                        bags[t] = bag(t)
-                keep.append(similarity(bags[x], bags[y]) >= threshold)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
-
-    return both.mapInArrow(run, pairs.select("a", "b").schema)
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, root) for every id in ``edges`` (a, b): root is the least id of its component.
-
-    Alternates the large-star and small-star steps, so the number of rounds
-    grows with the logarithm of the size; each round's edges are written down.
+    An exact prefix-filtered join: a shingle's k-th occurrence is one token,
+    tokens are ordered by rarity, and two sets of n <= m tokens with Jaccard
+    similarity t or more share a token among the first n - ceil(t n) + 1 of
+    each.  Pairs that are connected already are not compared.  With ``left``
+    (a flag per bag) only pairs across the flag are; equal flags are another task's.
     """
-    pairs = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    while True:
-        before = pairs
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: every larger neighbour is tied to the least neighbour (or the node itself)
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: every smaller neighbour, and the node, is tied to the least neighbour
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        pairs = materialise(small.where("u <> v").distinct(), name)
-        sums = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for d in (before, pairs)]
-        if sums[0] == sums[1]:
-            return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = 12, rounds: int = 3) -> DataFrame:
+    n = len(bags)
+    sizes = np.array([int(b[1].sum()) for b in bags])
+    owner = np.repeat(np.arange(n), sizes)
+    key = np.concatenate([np.repeat(b[0], b[1]) for b in bags]) if n else np.zeros(0, dtype=np.uint64)
+    nth = np.concatenate([np.arange(s) - np.repeat(np.cumsum(b[1]) - b[1], b[1]) for s, b in zip(sizes, bags, strict=True)]) if n else np.zeros(0, dtype=np.int64)
+    _, token, count = np.unique(_mix(key + nth.astype(np.uint64) * _A), return_inverse=True, return_counts=True)
+    order = np.lexsort((token, count[token], owner))
+    token = token[order]
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    label = np.arange(n)
+    postings: dict[int, list[int]] = {}
+    sets: dict[int, np.ndarray] = {}
+    edges: list[tuple[int, int]] = []
+    for i in np.argsort(sizes, kind="stable").tolist():
+        m = int(sizes[i])
+        if not m:
+            continue
+        own = token[starts[i] : starts[i + 1]]
+        prefix = own[: m - int(np.ceil(threshold * m - 1e-9)) + 1].tolist()
+        met: set[int] = set()
+        for t in prefix:
+            met.update(postings.get(t, ()))
+        if met:
+            found = np.fromiter(met, dtype=np.int64, count=len(met))
+            found = found[(label[found] != label[i]) & (sizes[found] >= threshold * m - 1e-9)]
+            if left is not None:
+                found = found[left[found] != left[i]]
+            whole = np.sort(own)
+            while len(found):
+                j = int(found[0])
+                other = sets.get(j)
+                if other is None:
+                    other = sets[j] = np.sort(token[starts[j] : starts[j + 1]])
+                at = np.searchsorted(whole, other)
+                at[at == m] = 0
+                both = int((whole[at] == other).sum())
+                if both >= threshold * (m + len(other) - both) - 1e-9:
+                    edges.append((min(i, j), max(i, j)))
+                    label[label == label[j]] = label[i]
+                found = found[1:]
+                found = found[label[found] != label[i]]
+        for t in prefix:
+            postings.setdefault(t, []).append(i)
+    return edges
+
+
+def linked(members: DataFrame, rows: DataFrame, threshold: float, block_docs: int, block_bytes: int) -> DataFrame:
+    """(a, b): edges that span the similarity components inside each candidate cluster.
+
+    ``members``: (id, cluster); ``rows``: ids and texts of all documents.  A
+    text travels once, to its cluster.  A cluster beyond ``block_docs`` or
+    ``block_bytes`` is cut into blocks, and every two blocks meet in a task of
+    their own, so a hot group is spread and none of its links is lost.
+    """
+    few = marked(rows, members.select("id")).where("_mark").drop("_mark").join(members, "id").groupBy("id", "cluster").agg(F.max("text").alias("text"))
+    few = materialise(few, "candidate_texts")
+    size = few.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    cut = few.join(size.select("cluster", parts.alias("parts")), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # block p meets every other block; in a task of two blocks the pairs inside a block belong to its first task
+    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("block")), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    )
+    cut = cut.select("id", "text", "cluster", "block", F.explode(pairs).alias("p")).select("id", "text", "cluster", "block", "p.i", "p.j")
+    kind = members.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, blocks = table.column("id").to_pylist(), np.array(table.column("block").to_pylist())
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        order = sorted(range(len(ids)), key=lambda k: ids[k])
+        texts = table.column("text").to_pylist()
+        bags = [bag(texts[k]) for k in order]
+        side = blocks[order] == i
+        # neighbours (0,1), (2,3) ... (and the odd last with its predecessor) also join inside their blocks
+        inside = i == j or j == i + 1
+        edges = joined(bags, threshold, None if inside else side)
+        return pa.table({"a": pa.array([ids[order[x]] for x, _ in edges], table.schema.field("id").type), "b": pa.array([ids[order[y]] for _, y in edges], table.schema.field("id").type)})
+
+    return cut.groupBy("cluster", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block_docs: int = 600, block_bytes: int = 8 << 20) -> DataFrame:
     """(id, class_id): one row per input row; class_id is the least id of its class.
 
     Equal texts share a class, and so do texts linked by a chain of similarities
@@ -210,10 +255,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     only to itself (texts without words: to equal ones).  Rows without an id
     take no part in any class and keep a null class.  Repeated rows stay.
 
-    Copies collapse first, so a hot group costs one representative.  A bucket
-    links its members to its least one; where that leaves a bucket in several
-    classes, its classes meet pairwise in small buckets and through further
-    leaders in large ones.
+    Copies collapse first, so a hot group of them costs one representative.
+    Documents that share a band form candidate clusters, and each cluster is
+    joined exactly, in blocks of bounded size.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sign = materialise(signed(rows), "signatures")
@@ -222,30 +266,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bags = materialise(sign.where("bag_key is not null and id is not null").groupBy("bag_key").agg(F.min("id").alias("rep"), F.max("bands").alias("bands")), "bags")
     buckets = bags.select("rep", F.explode("bands").alias("bucket"))
     lead = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    member = materialise(buckets.join(lead, "bucket").select("bucket", "rep", "lead", "n"), "buckets")
+    stars = buckets.join(lead, "bucket").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    clusters = materialise(components(stars, "clusters").select("id", F.col("root").alias("cluster")), "members")
     texts = rows.where("id is not null and text is not null")
-    tried = materialise(member.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    edges = materialise(verified(tried, texts, threshold), "links")
+    edges = materialise(linked(clusters, texts, threshold, block_docs, block_bytes), "links")
     root = components(edges)
-    for turn in range(rounds):
-        rooted = member.join(root.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        open_ = materialise(rooted.join(split, "bucket").select("bucket", "rep", "root", "n", "low", "high"), "open_buckets")
-        few = open_.where(F.col("n") <= small)
-        again = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        many = open_.where(F.col("n") > small)
-        # a further leader from the class of the highest root, for the members of other classes
-        heads = many.where("root = high").groupBy("bucket").agg(F.max_by("rep", F.xxhash64("rep", F.lit(turn))).alias("head"), F.max("high").alias("of"))
-        more = many.join(heads, "bucket").where("root <> of").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b"))
-        fresh = materialise(again.union(more).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        found = materialise(verified(fresh, texts, threshold), "links")
-        tried = tried.union(fresh)
-        if found.isEmpty():
-            continue
-        edges = edges.union(found)
-        root = components(edges)
     by_bag = bags.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("bag_key", F.coalesce("root", "rep").alias("class_id"))
     out = sign.select("id", "bag_key").join(by_bag, "bag_key", "left")
     wordless = sign.where("bag_key is null and id is not null").select("id").join(plain.where("text_key is not null"), "id")
