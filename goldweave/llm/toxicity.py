@@ -37,7 +37,8 @@ NEAR = 5
 _FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else b if b == 39 else 32 for b in range(256))
 _SEEDS = frozenset(w.encode() for w in INSULTS)
 _SECOND = frozenset(w.encode() for w in SECOND_PERSON)
-_ODD = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_]+|[0-9@$]+[^\W\d_]{2,}")
+#: Starts at the edge of a run and never backtracks, so very long runs take linear time.
+_ODD = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*]++[^\W\d_]++|(?<![0-9@$])[0-9@$]++[^\W\d_]{2,}+")
 _UPPER = re.compile(r"\b[A-ZÀ-ÞĀ-Ž]{3,}\b")
 _UNMASK = str.maketrans(LOOKALIKES)
 _UPPER_BYTES = bytes(range(65, 91))
