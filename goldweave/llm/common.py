@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from goldweave.operators.components import materialise, shared_dir  # noqa: F401  used by the operators
 
 #: Rows per Arrow batch handed to Python; keeps a batch of ordinary texts at a few MB.
 BATCH_ROWS = 1000
@@ -19,31 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine) a temporary folder
-    is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark, "_goldweave_dir", None)
-        if found is None:
-            found = "file://" + tempfile.mkdtemp(prefix="goldweave-")
-            spark._goldweave_dir = found
-    return found
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def marked(rows: DataFrame, ids: DataFrame, log_words: int = 16) -> DataFrame:
+    """``rows`` with ``_mark``: false where the row's ``id`` is surely not among ``ids``.
 
-    This cuts the lineage: a lost executor costs a rerun of later stages only,
-    and what was decided once (row order, group ids) can't change on a retry.
+    A bitmap of hashed ids, 2**log_words words of 64 bits and never more, goes
+    to every executor, so that only the marked rows need a shuffled join.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/goldweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << (log_words + 6)))
+    bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    word = F.shiftright("_place", 6)
+    bitmap = ids.select(place.alias("_place")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    out = rows.withColumn("_place", place).withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
+    return out.withColumn("_mark", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_place", "_word", "_bits")
 
 
 def byte_runs(texts: Iterable[str | None], limit: int) -> Iterator[tuple[int, int]]:

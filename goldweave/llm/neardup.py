@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm.common import byte_runs, materialise, table
+from goldweave.llm.common import byte_runs, marked, materialise, table
 from goldweave.operators.components import components
 
 SHINGLE = 5
@@ -143,20 +143,6 @@ def signed(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, f"id {kind}, bag_key bigint, bands array<bigint>")
 
 
-def marked(rows: DataFrame, ids: DataFrame, log_words: int = 16) -> DataFrame:
-    """``rows`` with ``_mark``: false where the row's ``id`` is surely not among ``ids``.
-
-    A bitmap of hashed ids, 2**log_words words of 64 bits and never more, goes
-    to every executor, so that only the marked rows need a shuffled join.
-    """
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << (log_words + 6)))
-    bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
-    word = F.shiftright("_place", 6)
-    bitmap = ids.select(place.alias("_place")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    out = rows.withColumn("_place", place).withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
-    return out.withColumn("_mark", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_place", "_word", "_bits")
-
-
 def joined(bags: list[tuple[np.ndarray, np.ndarray]], threshold: float, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges (i, j) that span the components of the bags under similarity ``threshold`` or more.
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm.common import materialise, table
+from goldweave.llm.common import marked, materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -105,29 +105,30 @@ def with_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select("id", F.xxhash64("text").alias("text_key"), plain.alias("base"), F.filter(F.concat(seeds, others), lambda x: x["context"].isNotNull()).alias("instances"))
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
+def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 5, confidence: float = 0.85) -> DataFrame:
     """Accepted patterns: (context, kind), from the instances of all documents.
 
     A pattern needs ``least_seeds`` different seeds of a kind and a score of
-    ``confidence``: the believed share of all different identifiers behind it.
+    ``confidence``: the share of all different identifiers behind it that are
+    believed to be of that kind.
     """
     each = found.select(F.explode("instances").alias("x")).select("x.*")
     # one edge per context and identifier, however many rows repeat it; a seed keeps its kind
     edges = materialise(each.groupBy("context", "surface").agg(F.max("kind").alias("kind")), "edges")
-    kinds = edges.where(F.col("kind").isNotNull()).groupBy("context", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    belief = None
+    kinds = edges.where(F.col("kind").isNotNull()).groupBy("context", F.col("kind").alias("k")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
+    graph = materialise(edges.join(kinds.select("context", "k"), "context"), "graph")
+    belief, patterns = None, None
     for _ in range(rounds):
-        if belief is None:
-            trusted = edges.withColumn("trust", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
-        else:
-            trusted = edges.join(belief, "surface", "left").withColumn("trust", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
-        # smoothed share; candidates of other kinds count against a pattern
-        scored = trusted.groupBy("context").agg((F.sum("trust") / (F.count("*") + 0.5)).alias("score"), F.count("*").alias("n"))
-        patterns = materialise(kinds.join(scored, "context").where(F.col("score") >= 0.5).select("context", "kind", "score"), "patterns")
+        known = F.when(F.col("kind") == F.col("k"), 1.0).when(F.col("kind").isNotNull(), 0.0)
+        trusted = graph if belief is None else graph.join(belief, ["surface", "k"], "left")
+        trusted = trusted.withColumn("trust", F.coalesce(known, F.lit(0.0) if belief is None else F.col("belief"), F.lit(0.0)))
+        # a smoothed share: identifiers of other kinds, and doubtful ones, count against a pattern
+        scored = trusted.groupBy("context", "k").agg((F.sum("trust") / (F.count("*") + 0.5)).alias("score"))
+        patterns = materialise(scored.where(F.col("score") >= 0.5), "patterns")
         doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6))))
-        belief = edges.where(F.col("kind").isNull()).select("context", "surface").join(patterns.groupBy("context").agg(F.max("score").alias("score")), "context").groupBy("surface").agg((1 - F.exp(doubt)).alias("belief"))
-    best = patterns.where(F.col("score") >= confidence).groupBy("context").agg(F.max(F.struct("score", "kind")).alias("b"))
-    return materialise(best.select("context", F.col("b.kind").alias("kind")), "accepted")
+        belief = graph.where(F.col("kind").isNull()).join(patterns, ["context", "k"]).groupBy("surface", "k").agg((1 - F.exp(doubt)).alias("belief"))
+    best = patterns.where(F.col("score") >= confidence).groupBy("context").agg(F.max(F.struct("score", "k")).alias("b"))
+    return materialise(best.select("context", F.col("b.k").alias("kind")), "accepted")
 
 
 def added_spans(found: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -192,8 +193,11 @@ def mask_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if accepted.isEmpty():
         rows = rows.withColumn("added", none)
     else:
-        added = added_spans(found, accepted)
+        # only rows that the bitmap marks can have added spans, so only their texts are shuffled
+        added = materialise(added_spans(found, accepted), "added")
+        rows = marked(rows, added.select("id"))
         same = F.col("r.id").eqNullSafe(F.col("a.id")) & (F.col("r.text_key") == F.col("a.text_key"))
-        rows = rows.alias("r").join(added.alias("a"), same, "left").select("row", "base", "added")
+        some = rows.where("_mark or id is null").alias("r").join(added.alias("a"), same, "left").select("row", "base", "added")
+        rows = rows.where("not (_mark or id is null)").select("row", "base", none.alias("added")).unionByName(some)
     spans = F.concat("base", F.coalesce("added", none))
     return rows.select(F.col("row").withField(text_col, masked(F.col("row")[text_col], spans)).alias("row")).select("row.*")
