@@ -151,9 +151,9 @@ def pick(value: Any) -> Any:
 def predicate(spec: Any, column) -> Column:
     """A predicate from SQL text or from a curated form; NULL counts as false.
 
-    Curated: ``{field: value}`` pairs, or a list under ``and`` / ``or`` / ``not``,
-    with equals, not_equals, in, not_null, is_null, gt, gte, lt, lte per field.
-    ``column`` gives the column of a name.
+    Curated: one of equals, not_equals, gt, gte, lt, lte ``{field, value}``, in
+    ``{field, values}``, not_null, is_null ``{field}``, and, or (lists), not, or
+    the escape hatch ``{sql: text}``.  ``column`` gives the column of a name.
     """
     spec = pick(spec)
     if isinstance(spec, str):
@@ -161,36 +161,46 @@ def predicate(spec: Any, column) -> Column:
     return F.coalesce(_curated(spec, column), F.lit(False))
 
 
+def predicate_names(spec: Any) -> list[str]:
+    """The names that a predicate reads."""
+    spec = pick(spec)
+    if isinstance(spec, str):
+        return names_in(spec)
+    (op, arg), *_ = spec.items()
+    if op in ("and", "or"):
+        return list(dict.fromkeys(n for s in arg for n in predicate_names(s)))
+    return predicate_names(arg) if op == "not" else [arg["field"]]
+
+
 def _curated(spec: Any, column) -> Column:
-    if isinstance(spec, list):
-        return reduce(lambda a, b: a & b, [_curated(s, column) for s in spec], F.lit(True))
-    parts = []
-    for key, value in spec.items():
-        if key == "and":
-            parts.append(_curated(list(value), column))
-        elif key == "or":
-            parts.append(reduce(lambda a, b: a | b, [_curated(s, column) for s in value], F.lit(False)))
-        elif key == "not":
-            parts.append(~_curated(value, column))
-        elif isinstance(value, dict):
-            parts += [_compare(column(key), op, v) for op, v in value.items()]
-        else:
-            parts.append(_compare(column(key), "equals", value))
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+    spec = pick(spec)
+    if isinstance(spec, str):
+        return expression(spec)
+    if not isinstance(spec, dict) or len(spec) != 1:
+        raise ExpressionError(f"one predicate is expected, not {spec!r}")
+    (op, arg), *_ = spec.items()
+    if op == "and":
+        return reduce(lambda a, b: a & b, [_curated(s, column) for s in arg], F.lit(True))
+    if op == "or":
+        return reduce(lambda a, b: a | b, [_curated(s, column) for s in arg], F.lit(False))
+    if op == "not":
+        return ~_curated(arg, column)
+    c = column(arg["field"])
+    if op in ("not_null", "is_null"):
+        return c.isNotNull() if op == "not_null" else c.isNull()
+    if op == "in":
+        return reduce(lambda a, b: a | b, [_compared(c, "equals", v) for v in arg["values"]], F.lit(False))
+    return _compared(c, op, arg["value"])
 
 
-def _compare(c: Column, op: str, value: Any) -> Column:
+def _compared(c: Column, op: str, value: Any) -> Column:
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     side = c.cast("string").try_cast("decimal(38,18)") if number else c.cast("string")
     lit = F.lit(str(value)).cast("decimal(38,18)") if number else F.lit(str(value).lower() if isinstance(value, bool) else value)
-    simple = {"equals": lambda: side == lit, "not_equals": lambda: side != lit, "gt": lambda: side > lit, "gte": lambda: side >= lit, "lt": lambda: side < lit, "lte": lambda: side <= lit}
-    if op in simple:
-        return simple[op]()
-    if op == "in":
-        return reduce(lambda a, b: a | b, [_compare(c, "equals", v) for v in value], F.lit(False))
-    if op in ("not_null", "is_null"):
-        return c.isNotNull() if (op == "not_null") == bool(value) else c.isNull()
-    raise ExpressionError(f"unknown predicate {op!r}")
+    forms = {"equals": lambda: side == lit, "not_equals": lambda: side != lit, "gt": lambda: side > lit, "gte": lambda: side >= lit, "lt": lambda: side < lit, "lte": lambda: side <= lit}
+    if op not in forms:
+        raise ExpressionError(f"unknown predicate {op!r}")
+    return forms[op]()
 
 
 def normalized(name: str, spec: Any) -> Column:
@@ -220,16 +230,18 @@ def _curated_step(c: Column, step: Any) -> Column:
         return numeric_text(F.bround(number(), int(arg.get("decimals", 0))))
     if name == "pad":
         fill = F.rpad if arg.get("side") == "right" else F.lpad
-        return fill(c, int(arg["length"]), str(arg.get("with", " ")))
+        return fill(c, F.greatest(F.length(c), F.lit(int(arg["width"]))), F.lit(str(arg.get("char", " "))))
     if name == "clamp":
         n = number()
         n = F.greatest(n, F.lit(str(arg["min"])).cast("decimal(38,18)")) if "min" in arg else n
         n = F.least(n, F.lit(str(arg["max"])).cast("decimal(38,18)")) if "max" in arg else n
         return numeric_text(n)
     if name == "truncate_time":
-        return F.date_trunc(arg.get("unit", "day"), c.try_cast("timestamp")).cast("string")
+        return F.date_trunc(arg["precision"], c.try_cast("timestamp")).cast("string")
     if name == "null_as":
-        return F.coalesce(c, F.lit(str(arg if not isinstance(arg, dict) else arg.get("value", ""))))
+        return F.coalesce(c, F.lit(str(arg["value"]).lower() if isinstance(arg["value"], bool) else str(arg["value"])))
+    if name == "strip_non_digits":
+        return F.regexp_replace(c, "[^0-9]", "")
     if name in ("unicode_nfc", "ascii_fold"):
         form = "NFC" if name == "unicode_nfc" else "NFKD"
 
@@ -270,11 +282,14 @@ def strict_cast(c: Column, kind: str) -> Column:
     if kind == "string":
         return text
     if kind == "integer":
-        return text.try_cast("bigint").cast("string")
+        return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("decimal(38,0)").cast("string"))
     if kind == "numeric":
-        return numeric_text(text.try_cast("decimal(38,18)"))
-    if kind in ("date", "timestamp"):
-        return text.try_cast(kind).cast("string")
+        return F.when(text.rlike(r"^[+-]?[0-9]+([.][0-9]+)?$"), numeric_text(text.try_cast("decimal(38,18)")))
+    if kind == "date":
+        return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text.try_cast("date").cast("string"))
+    if kind == "timestamp":
+        good = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})?$")
+        return F.when(good, F.date_format(text.try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     raise ExpressionError(f"unknown cast {kind!r}")
 
 

@@ -95,7 +95,7 @@ class Scope:
     def with_names(self, m: Mapping, rows: DataFrame, spec) -> DataFrame:
         """``rows`` with the columns that an expression names."""
         spec = X.pick(spec)
-        names = X.names_in(spec) if isinstance(spec, str) else _curated_names(spec)
+        names = X.predicate_names(spec)
         return rows.withColumns({n: self.value(m, n) for n in names if n not in rows.columns}) if names else rows
 
     def forward(self, m: Mapping) -> DataFrame:
@@ -148,15 +148,11 @@ class Scope:
         if line.source_path is not None:
             steps = parse_path(line.source_path)
             return read_path(self.value(m, steps[0]), steps[1:])
-        if line.source is None and line.join is None:
+        if line.sources:
+            return F.concat_ws(line.join["sep"], *[F.coalesce(self.value(m, c), F.lit("")) for c in line.sources])
+        if line.source is None:
             return F.lit(None).cast("string")
-        if line.join is not None:
-            parts = [F.coalesce(self.value(m, c), F.lit("")) for c in line.join["fields"]]
-            return F.concat_ws(line.join.get("sep", " "), *parts)
         value = self.value(m, line.source)
-        if line.split is not None:
-            sep, limit = line.split.get("sep", " "), int(line.split.get("limit", -1))
-            value = F.get(F.split(value, "\\Q" + sep + "\\E", limit), F.lit(int(line.split.get("index", 0))))
         if line.cast is not None:
             value = X.strict_cast(value, line.cast)
         if line.value_map is not None:
@@ -183,7 +179,7 @@ class Scope:
 
     def own(self, m: Mapping) -> Column:
         """The row's values by source column, all as text."""
-        names = [f.source for f in m.fields if f.source and f.backward] + [parse_path(f.source_path)[0] for f in m.fields if f.source_path] + list(m.passthrough)
+        names = [f.source for f in m.fields if f.source and f.backward] + [c for f in m.fields for c in f.sources] + [parse_path(f.source_path)[0] for f in m.fields if f.source_path] + list(m.passthrough)
         if not m.parent:
             names += self.doc.source_of(m).primary_key
         names += [c.array[0] for c in self.doc.children(m.name) if c.array]
@@ -191,11 +187,3 @@ class Scope:
         pairs = [x for n in names for x in (F.lit(n), self.value(m, n))]
         return F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(None).cast("string"))
 
-
-def _curated_names(spec) -> list[str]:
-    if isinstance(spec, list):
-        return list(dict.fromkeys(n for s in spec for n in _curated_names(s)))
-    out: list[str] = []
-    for k, v in spec.items():
-        out += _curated_names(v) if k in ("and", "or", "not") else [k]
-    return list(dict.fromkeys(out))

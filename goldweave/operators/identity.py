@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from goldweave.operators.components import components
 from goldweave.plans.model import Document, Target
@@ -19,10 +18,21 @@ def group_key(target: Target, group: tuple[str, ...], references: set[str]) -> C
     return F.when(whole, F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]))
 
 
+def least_row(rows: DataFrame, key: str, grouped: Column) -> DataFrame:
+    """``rows`` with ``__id``, the least row id of those that share ``key`` (a row that isn't ``grouped``: its own).
+
+    An aggregation and a join instead of a window: a hot key is summed up before
+    the exchange, and adaptive execution can split its side of the join.
+    """
+    least = rows.where(grouped).groupBy(F.col(key).alias("__k")).agg(F.min("__row").alias("__least"))
+    out = rows.join(least, F.col(key) == F.col("__k"), "left")
+    return out.withColumn("__id", F.coalesce("__least", "__row")).drop("__k", "__least", key)
+
+
 def cluster(doc: Document, target: Target, rows: DataFrame, references: set[str], edges: DataFrame | None) -> DataFrame:
     """``rows`` with ``__id``, the least row id of each row's cluster.
 
-    One identity group and no further edges: one window over the key.  Several
+    One identity group and no further edges: the least row of each key.  Several
     groups, links or fed-back cluster ids: connected components.  A row without
     any complete key is an entity of its own.
     """
@@ -30,16 +40,14 @@ def cluster(doc: Document, target: Target, rows: DataFrame, references: set[str]
         return rows.withColumn("__id", F.col("__row"))
     if edges is None and len(target.identity) == 1:
         key = group_key(target, target.identity[0], references)
-        keyed = rows.withColumn("__key", key)
-        # rows without a key get one each, so that they don't meet in one task
-        spread = F.when(F.col("__key").isNull(), F.concat_ws(":", "__m", "__pk"))
-        least = F.min("__row").over(Window.partitionBy("__key", spread))
-        return keyed.withColumn("__id", F.when(F.col("__key").isNull(), F.col("__row")).otherwise(least)).drop("__key")
+        # a row without a key gets a text of its own: such rows neither match nor meet in one task
+        keyed = rows.withColumn("__key", F.coalesce(F.concat(F.lit("k"), F.to_json(key)), F.concat_ws(":", F.lit("r"), "__m", "__pk")))
+        return least_row(keyed, "__key", F.col("__key").startswith("k"))
     node = F.concat_ws(":", F.lit("r"), "__m", "__pk")
     found = [rows.select(node.alias("a"), F.concat(F.lit(f"k{i}:"), F.to_json(group_key(target, g, references))).alias("b")).where("b is not null") for i, g in enumerate(target.identity)]
     found += [rows.where("__cluster is not null").select(node.alias("a"), F.concat(F.lit("c:"), "__cluster").alias("b"))]
     found += [] if edges is None else [edges.select("a", "b")]
     linked = components(reduce(DataFrame.union, found), "identity")
     rooted = rows.withColumn("__node", node).join(linked, F.col("__node") == linked["id"], "left").drop("id")
-    group = F.coalesce("root", "__node")
-    return rooted.withColumn("__root", group).withColumn("__id", F.min("__row").over(Window.partitionBy("__root"))).drop("__root", "root", "__node")
+    rooted = rooted.withColumn("__root", F.coalesce("root", "__node")).drop("root", "__node")
+    return least_row(rooted, "__root", F.lit(True))

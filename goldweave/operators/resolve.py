@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from goldweave.functions import expressions as X
 from goldweave.plans.model import Document, Field, Target
@@ -30,9 +29,9 @@ def without_echoes(doc: Document, target: Target, rows: DataFrame) -> DataFrame:
         if not specs:
             continue
         rows = rows.withColumn(f"n_{name}", X.normalized(f"v_{name}", specs[0]))
-        alike = Window.partitionBy("__id", f"n_{name}")
-        plain = F.max((~F.col(f"h_{name}") & F.col(f"v_{name}").isNotNull()).cast("int")).over(alike)
-        rows = rows.withColumn(f"x_{name}", F.col(f"h_{name}") & (plain == 1)).drop(f"n_{name}")
+        plain = rows.where(~F.col(f"h_{name}") & F.col(f"n_{name}").isNotNull()).select(F.col("__id").alias("__i"), F.col(f"n_{name}").alias("__n")).distinct().withColumn("__plain", F.lit(True))
+        rows = rows.join(plain, (F.col("__id") == F.col("__i")) & (F.col(f"n_{name}") == F.col("__n")), "left")
+        rows = rows.withColumn(f"x_{name}", F.col(f"h_{name}") & F.col("__plain").isNotNull()).drop(f"n_{name}", "__i", "__n", "__plain")
     return rows
 
 
@@ -44,8 +43,11 @@ def with_authority(doc: Document, target: Target, rows: DataFrame, link: str | N
     prio = F.coalesce(*[F.when(F.col("__m") == m.name, F.lit(m.priority)) for m in doc.into(target.name)], F.lit(None).cast("int"))
     stamp = F.greatest(F.lit(None).cast("bigint"), *[F.col(f"t_{f}") for f in target.fields])
     first = [stamp.isNull(), -stamp] if target.elements == "last_modified" else [prio.isNull(), prio]
-    best = F.first("__m").over(Window.partitionBy("__link").orderBy(*first, "__decl", "__pk"))
-    return rows.withColumn("__link", parent).withColumn("__best", best).where(F.col("__link").isNull() | (F.col("__m") == F.col("__best"))).drop("__link", "__best")
+    order_ = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*first, F.col("__decl"), F.col("__pk")])])
+    rows = rows.withColumn("__link", parent)
+    best = rows.where("__link is not null").groupBy(F.col("__link").alias("__l")).agg(F.min_by("__m", order_).alias("__best"))
+    rows = rows.join(best, F.col("__link") == F.col("__l"), "left")
+    return rows.where(F.col("__link").isNull() | (F.col("__m") == F.col("__best"))).drop("__link", "__l", "__best")
 
 
 def golden(target: Target, rows: DataFrame, references: set[str]) -> DataFrame:

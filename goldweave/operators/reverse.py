@@ -23,7 +23,7 @@ class Reverse:
         """The lines that write something: a source column or element key, each once."""
         out, seen = [], set()
         for f in m.fields:
-            place = f.source_path or f.source or ("\0" if f.scalar else None)
+            place = f.source_path or f.source or f.sources or ("\0" if f.scalar else None)
             if place is None or not f.backward or place in seen or f.source in m.parent_fields:
                 continue
             if f.target is None and f.reverse_expression is None:
@@ -182,7 +182,7 @@ class Reverse:
 
     def columns(self, m: Mapping) -> list[str]:
         """Source columns that a mapping's deltas carry, without its key."""
-        out = [parse_path(f.source_path)[0] if f.source_path else f.source for f in self.lines(m) if not f.scalar]
+        out = [n for f in self.lines(m) if not f.scalar for n in (f.sources or [parse_path(f.source_path)[0] if f.source_path else f.source])]
         out += [n for c in self.doc.children(m.name) if c.embedded for n in self.columns(c)]
         out += [c.array[0] for c in self.doc.children(m.name) if c.array]
         return list(dict.fromkeys(out))
@@ -215,7 +215,13 @@ class Reverse:
                 mine_f = F.col(f"m_{f.target}")
                 kept = there & F.coalesce(mine_f[f"k_{f.target}"], F.lit(False)) & (mine_f[f"e_{f.target}"] == F.col(f"e_{f.target}"))
                 value = F.when(kept, mine_f[f"v_{f.target}"]).otherwise(value)
-            if f.source_path:
+            if f.sources:
+                # a value with fewer separators leaves the last columns NULL
+                buckets = F.split(value, "\\Q" + f.split["sep"] + "\\E", int(f.split.get("limit", len(f.sources)))) if f.split else None
+                for k, name in enumerate(f.sources):
+                    outs[name] = F.get(buckets, F.lit(k)) if f.split else own(name)
+                    compared.append((name, "", None))
+            elif f.source_path:
                 steps = parse_path(f.source_path)
                 paths.setdefault(steps[0], []).append((steps[1:], value))
             else:

@@ -83,6 +83,7 @@ class FieldMap:
     order_next: bool = False
     scalar: bool = False
     cast: str | None = None
+    sources: tuple[str, ...] = ()
     split: dict | None = None
     join: dict | None = None
     value_map: dict | None = None
@@ -171,9 +172,9 @@ KEYS["1"] = {
     "doc": KEYS["2"]["doc"] | {"name"},
     "source": KEYS["2"]["source"] | {"fields", "description", "table"},
     "target": {"fields", "elements", "description"},
-    "field": {"strategy", "type", "references", "group", "default", "default_expression", "expression", "link_group", "description"},
+    "field": {"strategy", "type", "references", "group", "default", "default_expression", "expression", "link_group", "description", "element_type"},
     "mapping": KEYS["2"]["mapping"] | {"priority", "filter", "reverse_filter", "passthrough", "soft_delete", "derive_tombstones", "derive_noop", "derive_timestamps", "written_state", "cluster_members", "cluster_field", "links", "link_key", "sort", "array_path", "include_base", "description"},
-    "map": {f for f in FieldMap.__dataclass_fields__} | {"description"},
+    "map": {f for f in FieldMap.__dataclass_fields__} | {"description", "transform"},
 }
 STRATEGIES = {"2": {"coalesce", "last_modified"}, "1": {"identity", "coalesce", "last_modified", "expression", "collect", "multi_value", "bool_or", "any_true", "all_true"}}
 
@@ -205,8 +206,19 @@ def build(raw: dict) -> Document:
     return doc
 
 
+def _field(name: str, raw: dict) -> Field:
+    """A target field; ``default:`` is a literal, ``{value: literal}`` or ``{sql: expression}``."""
+    raw = {k: v for k, v in raw.items() if k not in ("description", "element_type")}
+    default = raw.get("default")
+    if isinstance(default, dict) and "value" in default:
+        raw["default"] = default["value"]
+    elif isinstance(default, dict) and "sql" in default:
+        raw["default"], raw["default_expression"] = None, default["sql"]
+    return Field(name, **raw)
+
+
 def _target(name: str, raw: dict, kind: str) -> Target:
-    fields = {f: Field(f, **{k: v for k, v in (x or {}).items() if k != "description"}) for f, x in raw["fields"].items()}
+    fields = {f: _field(f, x or {}) for f, x in raw["fields"].items()}
     if kind == "2":
         return Target(name, fields, tuple((g,) if isinstance(g, str) else tuple(g) for g in raw["identity"]))
     groups: dict[str, list[str]] = {}
@@ -216,9 +228,21 @@ def _target(name: str, raw: dict, kind: str) -> Target:
     return Target(name, fields, tuple(tuple(g) for g in groups.values()), keep_own=True, elements=raw.get("elements"))
 
 
+def _line(raw: dict) -> FieldMap:
+    """One line; ``transform:`` holds a curated form or SQL, ``sources:`` several columns."""
+    raw = {k: v for k, v in raw.items() if k != "description"}
+    transform = raw.pop("transform", None)
+    if isinstance(transform, dict) and set(transform) <= {"sql", "sparql"}:
+        raw["expression"] = transform["sql"]
+    elif isinstance(transform, dict):
+        raw |= transform
+    raw["sources"] = tuple(raw.get("sources") or ())
+    return FieldMap(**raw)
+
+
 def _mapping(raw: dict, order: int, known: dict[str, Mapping]) -> Mapping:
     raw = {k: v for k, v in raw.items() if k not in ("description", "include_base")}
-    fields = tuple(FieldMap(**{k: v for k, v in f.items() if k != "description"}) for f in raw.pop("fields", None) or ())
+    fields = tuple(_line(f) for f in raw.pop("fields", None) or ())
     path = raw.pop("array_path", None) or raw.pop("array", None)
     raw.pop("array", None)
     if "source" not in raw and raw.get("parent") in known:
@@ -228,6 +252,8 @@ def _mapping(raw: dict, order: int, known: dict[str, Mapping]) -> Mapping:
     for many in ("passthrough", "links", "sort"):
         if many in raw:
             raw[many] = tuple(raw[many] or ())
+    # both spellings of a link's ends
+    raw["links"] = tuple({"field": x.get("field", x.get("source_field")), "references": x.get("references", x.get("lookup_source"))} for x in raw.get("links", ()))
     return Mapping(fields=fields, order=order, array=tuple(str(path).split(".")) if path else (), soft_delete=soft, **raw)
 
 

@@ -276,6 +276,39 @@ class Pipeline:
         wins = reduce(DataFrame.union, [g.select(F.col("__id").alias("_canonical_id"), F.lit(f).alias("field"), F.col(f"v_{f}").alias("won")) for f in t.fields])
         return out.join(wins, ["_canonical_id", "field"], "left").withColumn("wins", F.col("value").eqNullSafe(F.col("won"))).drop("won")
 
+    def element_deltas(self, mapping: str) -> DataFrame:
+        """An array mapping's elements against what its parent last wrote: ``_element_action`` insert, present or delete.
+
+        The parent's ``_written`` state holds whole objects; elements are told
+        apart by their identity without the fields that link them to the parent.
+        """
+        m = self.doc.mappings[mapping]
+        parent = self.doc.mappings[m.parent]
+        state = self.written(parent)
+        keys = [f for f in self.reverse.lines(m) if f.target in {x for g in self.doc.targets[m.target].identity for x in g}]
+        now = self.reverse.elements(m).select("parent", F.explode("items").alias("x"))
+        now = now.select("parent", *[F.col("x")[f.source].alias(f.source) for f in keys])
+        if state is None:
+            return now.withColumn("_element_action", F.lit("insert")).withColumnRenamed("parent", "_canonical_id")
+        before = state.select(F.col("__id").alias("parent"), F.explode(self.reverse.own_elements(m, F.try_element_at("__written", F.lit(m.array[0])))).alias("x"))
+        before = before.select("parent", *[F.col("x")[f.source].alias(f.source) for f in keys]).distinct()
+        names = ["parent", *[f.source for f in keys]]
+        both = now.withColumn("__now", F.lit(True)).join(before.withColumn("__before", F.lit(True)), names, "full")
+        action = F.when(F.col("__before").isNull(), "insert").when(F.col("__now").isNull(), "delete").otherwise("present")
+        return both.select(F.col("parent").alias("_canonical_id"), *names[1:], action.alias("_element_action"))
+
+    def create_views(self, prefix: str = "") -> list[str]:
+        """A temporary view per stage: forward, identified, golden record, reverse and deltas; their names."""
+        views = {f"{m}_forward": self.forward(m) for m in self.doc.mappings}
+        for t in self.doc.targets:
+            views |= {f"{t}_identified": self.identified(t), t: self.record(t)}
+        for m in self.visible():
+            d = self.deltas(m)
+            views |= {f"{m}_reverse": self.frame(m), f"{m}_updates": d.updates, f"{m}_inserts": d.inserts, f"{m}_deletes": d.deletes, f"{m}_changes": d.changes()}
+        for name, df in views.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in views]
+
     def sync_status(self, mapping: str) -> DataFrame:
         """Entities by what has to happen to them in a mapping."""
         return self.frame(mapping).select(F.col("__id").alias("_canonical_id"), F.col("__pk").alias("_src_pk"), F.coalesce("_action", F.lit("none")).alias("status"))

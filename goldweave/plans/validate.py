@@ -128,6 +128,10 @@ def semantic_errors(doc) -> list[tuple[str, str]]:
                 out.append((f"{at}/references", f"unknown mapping or target {f.references!r}"))
             if f.source is None and f.target is None:
                 out.append((at, "neither source nor target"))
+            if f.sources and (not f.join or f.direction != "bidirectional" or (f.split or {}).get("limit", 2) < 2):
+                out.append((at, "several sources need a join, both directions, and a split limit of 2 or more"))
+            if f.value_map is not None and (f.expression is not None or f.cast is not None):
+                out.append((at, "value_map excludes a transform"))
             for name in ("expression", "reverse_expression", "normalize"):
                 if isinstance(getattr(f, name), str):
                     out += _unsafe(getattr(f, name).replace("%s", "x"), f"{at}/{name}")

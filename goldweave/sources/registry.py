@@ -48,7 +48,7 @@ def columns_used(doc: Document, source: str) -> list[str]:
         chain = _levels(doc, m)
         top = not any(x.array for x in chain)
         if top:
-            names += [f.source for f in m.fields if f.source] + list(m.passthrough) + [m.cluster_field, m.link_key, *[x["field"] for x in m.links], (m.soft_delete or {}).get("field")]
+            names += [f.source for f in m.fields if f.source] + [c for f in m.fields for c in f.sources] + list(m.passthrough) + [m.cluster_field, m.link_key, *[x["field"] for x in m.links], (m.soft_delete or {}).get("field")]
             names += [t for t in (m.last_modified, *[f.last_modified for f in m.fields]) if isinstance(t, str)]
             names += [f.source_path.split(".")[0].split("[")[0] for f in m.fields if f.source_path]
         elif m.array and not any(x.array for x in chain[1:]):

@@ -85,27 +85,37 @@ def test_postgres_spelling(spark, text, want):
 def test_curated_predicates(spark):
     df = spark.createDataFrame([("a", "5"), ("b", "50"), (None, None)], "n string, v string")
     keep = lambda spec: [r["n"] for r in df.where(X.predicate(spec, F.col)).collect()]
-    assert keep({"n": "a"}) == ["a"] and keep({"v": {"gt": 10}}) == ["b"] and keep({"n": {"in": ["a", "b"]}}) == ["a", "b"]
-    assert keep({"not": {"n": "a"}}) == ["b"] and keep({"or": [{"n": "a"}, {"v": {"gte": 50}}]}) == ["a", "b"] and keep({"n": {"is_null": True}}) == [None]
-    assert keep({"sql": "v::numeric < 10"}) == ["a"]
+    a, big = {"equals": {"field": "n", "value": "a"}}, {"gt": {"field": "v", "value": 10}}
+    assert keep(a) == ["a"] and keep(big) == ["b"] and keep({"in": {"field": "n", "values": ["a", "b"]}}) == ["a", "b"]
+    assert keep({"not": a}) == ["b"] and keep({"or": [a, big]}) == ["a", "b"] and keep({"and": [a, big]}) == [] and keep({"is_null": {"field": "n"}}) == [None]
+    assert keep({"sql": "v::numeric < 10", "sparql": "..."}) == ["a"] and keep({"and": [{"not_null": {"field": "n"}}, {"sql": "v::numeric < 10"}]}) == ["a"]
+    assert X.predicate_names({"and": [a, {"not": big}, {"sql": "x > 1"}]}) == ["n", "v", "x"]
 
 
 def test_curated_normalisers(spark):
-    df = spark.createDataFrame([(" Ünï 1.256 ",)], "s string").select("s", F.lit("-1.256").alias("n"), F.lit("2024-03-05 10:11:12").alias("t"))
+    df = spark.createDataFrame([(" Ünï 1.256 ",)], "s string").select("s", F.lit("-1.256").alias("n"), F.lit("2024-03-05 10:11:12").alias("t"), F.lit(None).cast("string").alias("e"))
     one = lambda c, spec: df.select(X.normalized(c, spec).cast("string")).first()[0]
     assert one("s", ["trim", "lowercase", "ascii_fold"]) == "uni 1.256" and one("n", {"truncate": {"decimals": 2}}) == "-1.25" and one("n", {"round": {"decimals": 2}}) == "-1.26"
-    assert one("n", {"clamp": {"min": 0}}) == "0" and one("s", ["trim", {"truncate": {"length": 3}}]) == "Ünï" and one("t", {"truncate_time": {"unit": "month"}}).startswith("2024-03-01") and one("n", {"pad": {"length": 8, "with": "0"}}) == "00-1.256"
+    assert one("n", {"clamp": {"min": 0, "max": 9}}) == "0" and one("s", ["trim", {"truncate": {"length": 3}}]) == "Ünï" and one("t", {"truncate_time": {"precision": "month"}}).startswith("2024-03-01")
+    assert one("n", {"pad": {"width": 8, "char": "0"}}) == "00-1.256" and one("n", {"pad": {"width": 3}}) == "-1.256" and one("s", "strip_non_digits") == "1256" and one("e", {"null_as": {"value": False}}) == "false"
 
 
 def test_field_transforms(spark):
     doc = parse("""
 version: "1.0"
-sources: { a: { primary_key: id } }
-targets: { t: { fields: { k: { strategy: identity }, full: { strategy: coalesce }, first: { strategy: coalesce }, n: { strategy: coalesce }, land: { strategy: coalesce } } } }
-mappings: [{ name: a, source: a, target: t, fields: [{ source: id, target: k }, { target: full, join: { fields: [f, l], sep: " " } }, { source: both, target: first, split: { sep: ".", limit: 2, index: 1 } }, { source: num, target: n, cast: integer }, { source: c, target: land, value_map: { NO: Norway }, value_map_fallback: "null" }] }]
+sources: { a: { primary_key: id }, b: { primary_key: id } }
+targets: { t: { fields: { k: { strategy: identity }, full: { strategy: coalesce }, n: { strategy: coalesce, default: { value: 7 } }, land: { strategy: coalesce }, note: { strategy: coalesce, default: { sql: "upper(land)" } } } } }
+mappings:
+  - { name: a, source: a, target: t, priority: 2, fields: [{ source: id, target: k }, { target: full, sources: [f, l], join: { sep: " " }, split: { sep: " ", limit: 2 } }, { source: num, target: n, transform: { cast: integer } }, { source: c, target: land, value_map: { NO: Norway, SE: Sweden }, value_map_fallback: "null" }] }
+  - { name: b, source: b, target: t, priority: 1, fields: [{ source: id, target: k }, { source: name, target: full }, { source: land, target: land }, { source: note, target: note }] }
 """)
-    rows = pipeline_of(spark, doc, {"a": [{"id": "1", "f": "A", "l": "B", "both": "x.y.z", "num": "x1", "c": "NO"}, {"id": "2", "f": "A", "l": None, "both": "x", "num": "12", "c": "SE"}]}).record("t").orderBy("k").collect()
-    assert [tuple(r)[1:] for r in rows] == [("1", "A B", "y.z", None, "Norway"), ("2", "A ", None, "12", None)]
+    rows = {"a": [{"id": "1", "f": "Al", "l": "B", "num": "x1", "c": "NO"}, {"id": "2", "f": "Al", "l": None, "num": "0012", "c": "XX"}], "b": [{"id": "1", "name": "Mary Beth Smith", "land": "Sweden", "note": None}, {"id": "3", "name": "Mary", "land": "Norway", "note": "n"}]}
+    pipe = pipeline_of(spark, doc, rows)
+    got = [tuple(r)[1:] for r in pipe.record("t").orderBy("k").collect()]
+    assert got == [("1", "Mary Beth Smith", "7", "Sweden", "SWEDEN"), ("2", "Al ", "12", None, None), ("3", "Mary", "7", "Norway", "n")]
+    d = pipe.deltas("a")
+    assert [(r["id"], r["f"], r["l"], r["c"]) for r in d.updates.orderBy("id").collect()] == [("1", "Mary", "Beth Smith", "SE"), ("2", "Al", "", None)]
+    assert [(r["f"], r["l"], r["c"]) for r in d.inserts.collect()] == [("Mary", None, "NO")]
 
 
 def test_json_paths(spark):
@@ -219,3 +229,32 @@ def test_streamed_refresh(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen[0]["b"] == [("update", "9")] and seen[1]["b"] == [("insert", None)] and seen[2]["b"] == [] and seen[0]["fed"] == 1
+
+
+def test_element_deltas_and_views(spark):
+    doc = parse("""
+version: "1.0"
+sources: { a: { primary_key: id }, b: { primary_key: id } }
+targets: { p: { fields: { k: { strategy: identity } } }, e: { fields: { p: { strategy: identity, references: p, link_group: g }, n: { strategy: identity, link_group: g }, v: { strategy: coalesce } } } }
+mappings:
+  - { name: a, source: a, target: p, written_state: true, fields: [{ source: id, target: k }] }
+  - { name: a_e, parent: a, array: es, parent_fields: { up: id }, target: e, fields: [{ source: up, target: p, references: a }, { source: n, target: n }, { source: v, target: v }] }
+  - { name: b, source: b, target: e, fields: [{ source: p, target: p, references: a }, { source: n, target: n }, { source: v, target: v }] }
+""")
+    pipe = pipeline_of(spark, doc, {"a": [{"id": "1", "es": [{"n": "x", "v": "1"}, {"n": "y", "v": "2"}]}], "b": [{"id": "q", "p": "1", "n": "w", "v": "9"}], "_written_a": [{"_cluster_id": "a:1", "_written": '{"es": [{"n": "x", "v": "0"}, {"n": "z", "v": "3"}]}'}]})
+    assert sorted((r["n"], r["_element_action"]) for r in pipe.element_deltas("a_e").collect()) == [("w", "insert"), ("x", "present"), ("y", "insert"), ("z", "delete")]
+    names = pipe.create_views("t_")
+    assert {"t_a_forward", "t_e_identified", "t_p", "t_b_updates", "t_a_changes"} <= set(names)
+    assert spark.sql("select count(*) from t_e").first()[0] == 3
+
+
+def test_hot_and_missing_keys(spark):
+    """A key shared by most rows, and rows without a key, neither meet in a window nor merge."""
+    doc = parse(BASIC)
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), F.lit("v").alias("v"))
+    from goldweave.plans.pipeline import Pipeline
+
+    pipe = Pipeline(doc, {"a": rows, "b": spark.createDataFrame([], "id string, key string, val string")})
+    assert pipe.record("t").count() == 2001
+    plan = pipe.identified("t")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
