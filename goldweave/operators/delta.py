@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+class TooManyChanges(RuntimeError):
+    """Deltas beyond the limits that a caller set."""
+
+
 @dataclass(frozen=True)
 class Deltas:
     """What a source must change; lazy frames that share one classified frame."""
@@ -26,6 +30,15 @@ class Deltas:
         return out
 
 
+def guarded(d: Deltas, **limits: int) -> Deltas:
+    """``d``, unless it has more ``updates``, ``inserts`` or ``deletes`` than allowed: a circuit breaker before writing."""
+    for kind, most in limits.items():
+        found = getattr(d, kind).limit(most + 1).count()
+        if found > most:
+            raise TooManyChanges(f"more than {most} {kind}")
+    return d
+
+
 def classified(frame: DataFrame, may_insert: bool, written: DataFrame | None = None) -> DataFrame:
     """``frame`` with ``_action``.
 

@@ -20,6 +20,8 @@ from goldweave.plans.model import Document, DocumentError, FieldMap, Mapping
 from goldweave.sources.registry import as_text
 
 ELEMENTS = "array<map<string,string>>"
+#: Stands for an explicit NULL of a line with ``null_wins`` until the field is resolved.
+NULL_VALUE = "\0null"
 
 
 class Scope:
@@ -123,6 +125,8 @@ class Scope:
             line = lines[name]
             value = self.source_value(m, line) if line else F.lit(None).cast("string")
             value = X.canonical(value, spec.type)
+            if line is not None and line.null_wins:
+                value = F.coalesce(value, F.lit(NULL_VALUE))
             if soft_target == name:
                 value = flag.cast("string")
             elif soft_target and name not in identity:

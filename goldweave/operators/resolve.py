@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.functions import expressions as X
+from goldweave.operators.forward import NULL_VALUE
 from goldweave.plans.model import Document, Field, Target
 
 
@@ -50,7 +51,7 @@ def with_authority(doc: Document, target: Target, rows: DataFrame, link: str | N
     return rows.where(F.col("__link").isNull() | (F.col("__m") == F.col("__best"))).drop("__link", "__l", "__best")
 
 
-def golden(target: Target, rows: DataFrame, references: set[str]) -> DataFrame:
+def golden(target: Target, rows: DataFrame, references: set[str], null_wins: set[str] = frozenset()) -> DataFrame:
     """``__id``, and for each field ``v_f`` and, for references, ``e_f``: the entity it leads to."""
     aggs: list[Column] = []
     groups: dict[str, list[Field]] = {}
@@ -76,6 +77,8 @@ def golden(target: Target, rows: DataFrame, references: set[str]) -> DataFrame:
         if f.strategy == "expression" and _is_query(f.expression):
             continue
         value = F.col(f"g_{f.group}")[f.name] if f.group else F.col(f"r_{f.name}")["v"] if f.strategy in ("coalesce", "last_modified", "identity") else F.col(f"r_{f.name}")
+        if f.name in null_wins:
+            value = F.nullif(value, F.lit(NULL_VALUE))
         if f.default is not None:
             value = F.coalesce(value, X.canonical(F.lit(_text(f.default)), f.type))
         columns.append(value.alias(f"v_{f.name}"))

@@ -89,6 +89,7 @@ class FieldMap:
     value_map: dict | None = None
     reverse_value_map: dict | None = None
     value_map_fallback: str = "passthrough"
+    null_wins: bool = False
 
     @property
     def forward(self) -> bool:

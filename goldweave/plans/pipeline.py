@@ -218,7 +218,8 @@ class Pipeline:
         return resolve.without_echoes(self.doc, t, rows)
 
     def _resolved(self, target: str) -> DataFrame:
-        return resolve.golden(self.doc.targets[target], self.contributions(target), self.references(target))
+        null_wins = {f.target for m in self.doc.into(target) for f in m.fields if f.null_wins}
+        return resolve.golden(self.doc.targets[target], self.contributions(target), self.references(target), null_wins)
 
     def golden(self, target: str) -> DataFrame:
         """One row per entity: ``__id`` and the resolved fields."""
@@ -242,9 +243,16 @@ class Pipeline:
 
     # results
 
-    def record(self, target: str) -> DataFrame:
-        """The golden record as users see it: ``_canonical_id`` and the target's fields."""
+    def record(self, target: str, hashed: bool = False) -> DataFrame:
+        """The golden record as users see it: ``_canonical_id`` and the target's fields.
+
+        ``hashed`` adds ``_identity_hash``: SHA-256 of the first identity group's
+        values, parted by U+001F; it doesn't depend on which rows an entity has.
+        """
         g = self.golden(target)
+        if hashed:
+            key = F.sha2(F.concat_ws("\x1f", *[F.col(f"v_{f}") for f in self.doc.targets[target].identity[0]]), 256)
+            return self.record(target).join(g.select(F.col("__id").alias("_canonical_id"), key.alias("_identity_hash")), "_canonical_id")
         return g.select(F.col("__id").alias("_canonical_id"), *[F.col(f"v_{f}").alias(f) for f in self.doc.targets[target].fields])
 
     def deltas(self, mapping: str) -> Deltas:

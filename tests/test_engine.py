@@ -258,3 +258,19 @@ def test_hot_and_missing_keys(spark):
     assert pipe.record("t").count() == 2001
     plan = pipe.identified("t")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_explicit_nulls_hashes_and_limits(spark):
+    import hashlib
+
+    from goldweave.operators.delta import TooManyChanges, guarded
+
+    doc = parse(BASIC.replace('"2.0"', '"1.0"').replace("{ t: { identity: [k], fields: { k: { strategy: coalesce }", "{ t: { fields: { k: { strategy: identity }").replace("target: v, priority: 1", "target: v, priority: 1, null_wins: true"))
+    pipe = pipeline_of(spark, doc, {"a": [{"id": "1", "k": "p", "v": None}], "b": [{"id": "9", "key": "p", "val": "y"}]})
+    r = pipe.record("t", hashed=True).first()
+    assert r["v"] is None and r["_identity_hash"] == hashlib.sha256(b"p").hexdigest()
+    d = pipe.deltas("b")
+    assert [tuple(x)[1:] for x in d.updates.collect()] == [("9", "p", None)]
+    assert guarded(d, updates=1, deletes=0) is d
+    with pytest.raises(TooManyChanges):
+        guarded(d, updates=0)
