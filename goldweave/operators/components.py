@@ -37,7 +37,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour is tied to the least of the node and its neighbours
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written down, so that both sides of the join are plain exchanges and a hub's edges can be split
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the node and every smaller neighbour are tied to the least neighbour
         low = large.groupBy("u").agg(F.min("v").alias("m"))
