@@ -41,4 +41,30 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE = {"op6_chat_round_trip": OP6_SQL, "op9_block_topk": OP9_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+#: A text's words, as DuckDB lists them: A-Z lower-cased, digits, letters and non-ASCII characters.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item, least(len(ws), 10) AS k, array_to_string(ws[p : p + least(len(ws), 10) - 1], ' ') AS w FROM i, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS u(p) WHERE len(ws) > 0),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT rid, k, p, array_to_string(ws[p : p + k - 1], ' ') AS w FROM d, ks, unnest(range(1, len(ws) - k + 2)) AS u(p)),
+hits AS (SELECT rid, iw.k, p, item FROM dw JOIN iw ON dw.k = iw.k AND dw.w = iw.w),
+n AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM hits) GROUP BY rid),
+s AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN s USING (rid)
+"""
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
+b AS MATERIALIZED (SELECT doc_id, hash(array_to_string(ws[p : p + 4], ' ')) AS s, count(*) AS c FROM (SELECT DISTINCT doc_id, ws FROM d WHERE len(ws) > 0), unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS u(p) GROUP BY 1, 2),
+t AS MATERIALIZED (SELECT doc_id, sum(c) AS n FROM b GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS shared FROM b x JOIN b y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN t x ON a = x.doc_id JOIN t y ON b = y.doc_id WHERE 5 * shared >= 4 * (x.n + y.n - shared)
+  UNION SELECT min(doc_id) OVER (PARTITION BY text), doc_id FROM d WHERE text IS NOT NULL),
+u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.b, r.root FROM r JOIN u ON r.id = u.a WHERE r.root < u.b)
+SELECT doc_id, class_id FROM documents LEFT JOIN (SELECT id, min(root) AS class_id FROM r GROUP BY id) c ON doc_id = c.id
+"""
+
+ORACLE = {"op2_bagminhash": OP2_SQL, "op6_chat_round_trip": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_block_topk": OP9_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
