@@ -13,7 +13,7 @@ from goldweave.llm import decontaminate, langid, neardup, packing, pii
 from goldweave.llm.common import materialise, table
 
 #: A document whose language score is lower is rejected.
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_LANGUAGE_SCORE = 0.15
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
