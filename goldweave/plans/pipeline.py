@@ -36,9 +36,10 @@ class Pipeline:
         full = {}
         for name in doc.sources:
             df = sources.get(name)
-            used = columns_used(doc, name)
-            if df is None or (not df.columns):
-                df = from_rows(self.spark, [], used)
+            if df is None or not df.columns:
+                df = from_rows(self.spark, [], columns_used(doc, name))
+            else:
+                self._require(name, df.columns)
             full[name] = df
         self.sources = full
         self.scope = Scope(doc, full)
@@ -47,6 +48,19 @@ class Pipeline:
             setattr(self, name, cache(getattr(self, name)))
         self._open: list[str] = []
 
+    def _require(self, source: str, columns: list[str]) -> None:
+        """Every column that a mapping reads must be there; only written ones may be missing."""
+        lost = []
+        for m in self.doc.mappings.values():
+            if m.source != source or m.parent:
+                continue
+            stamps = [f.last_modified for f in m.fields] + [m.last_modified]
+            read = [f.source for f in m.fields if f.direction != "reverse_only" and f.expression is None] + [c for f in m.fields for c in f.sources] + [t for t in stamps if isinstance(t, str)]
+            read += list(self.doc.sources[source].primary_key) + [c.array[0] for c in self.doc.children(m.name) if c.array] + [(m.soft_delete or {}).get("field")]
+            lost += [(f"/mappings/{m.name}", f"source {source} has no column {c!r}") for c in dict.fromkeys(read) if c and c not in columns]
+        if lost:
+            raise DocumentError(lost)
+
     # references
 
     def referred(self, target: str, field: str) -> str | None:
@@ -231,8 +245,8 @@ class Pipeline:
         return out.persist() if self.keep else out
 
     def members(self, m: Mapping) -> DataFrame:
-        """A mapping's real rows with their entities."""
-        return self._linked(m.target).where((F.col("__m") == m.name) & ~F.col("__ghost"))
+        """A mapping's real rows with their entities; a row without a key contributes, but can't be written to."""
+        return self._linked(m.target).where((F.col("__m") == m.name) & ~F.col("__ghost") & F.col("__pk").isNotNull())
 
     def frame(self, mapping: str) -> DataFrame:
         m = self.doc.mappings[mapping]

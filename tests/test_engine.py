@@ -274,3 +274,19 @@ def test_explicit_nulls_hashes_and_limits(spark):
     assert guarded(d, updates=1, deletes=0) is d
     with pytest.raises(TooManyChanges):
         guarded(d, updates=0)
+
+
+def test_odd_sources(spark):
+    """Typed and nested columns, extra columns, rows without a key, and sources without rows."""
+    from goldweave.plans.pipeline import Pipeline
+
+    doc = parse(BASIC)
+    a = spark.createDataFrame([(1, "p", 1.5, {"x": 1}), (None, "q", 2.0, None), (2, None, None, {})], "id int, k string, v double, __raw map<string,int>")
+    pipe = Pipeline(doc, {"a": a})
+    assert sorted(map(str, (tuple(r)[1:] for r in pipe.record("t").collect()))) == sorted(map(str, [("p", "1.5"), ("q", "2.0"), (None, None)]))
+    assert sorted(str((r["key"], r["val"])) for r in pipe.deltas("b").inserts.collect()) == sorted(map(str, [("p", "1.5"), ("q", "2.0"), (None, None)]))
+    assert [r["k"] for r in pipe.deltas("a").inserts.collect()] == ["q"] and pipe.deltas("a").updates.count() == 0
+    with pytest.raises(DocumentError):
+        Pipeline(doc, {"a": a.drop("id")})
+    with pytest.raises(DocumentError, match="no column 'k'"):
+        Pipeline(doc, {"a": a.withColumnRenamed("k", "other")})
