@@ -208,7 +208,7 @@ def linked(members: DataFrame, rows: DataFrame, threshold: float, block_docs: in
     """
     few = marked(rows, members.select("id")).where("_mark").drop("_mark").join(members, "id").groupBy("id", "cluster").agg(F.max("text").alias("text"))
     few = materialise(few, "candidate_texts")
-    size = few.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    size = materialise(few.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "cluster_sizes")
     parts = F.greatest(F.ceil(F.col("n") / block_docs), F.ceil(F.col("bytes") / block_bytes)).cast("int")
     cut = few.join(size.select("cluster", parts.alias("parts")), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # block p meets every other block; in a task of two blocks the pairs inside a block belong to its first task
@@ -216,6 +216,8 @@ def linked(members: DataFrame, rows: DataFrame, threshold: float, block_docs: in
         F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("block")), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
     )
     cut = cut.select("id", "text", "cluster", "block", F.explode(pairs).alias("p")).select("id", "text", "cluster", "block", "p.i", "p.j")
+    # an exchange of its own: else all blocks of a cluster would stay where the cluster is
+    cut = cut.repartition("cluster", "i", "j")
     kind = members.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
