@@ -22,7 +22,7 @@ SYSTEMS = {
       CAST(c_nationkey AS STRING) AS nation, CASE WHEN c_custkey % 7 = 0 THEN 'firm' ELSE 'person' END AS kind, CASE WHEN c_custkey % 11 = 0 THEN '2024-05-01' END AS gone_at
       FROM {customer} WHERE c_custkey % 4 <> 3""",
     "erp": """SELECT 'E' || CAST(c_custkey AS STRING) AS id, 'c' || CAST(c_custkey AS STRING) || '@example.com' AS contact_email, CASE WHEN c_custkey % 6 = 1 THEN c_name ELSE upper(c_name) END AS contact_name,
-      CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS seg, CAST(DATE '2024-01-01' + CAST((c_custkey * 7) % 97 AS INT) AS STRING) AS modified, 'N' || CAST(c_nationkey AS STRING) AS country,
+      CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 9 = 4 THEN 'new ' || c_mktsegment ELSE c_mktsegment END AS seg, CAST(DATE '2024-01-01' + CAST((c_custkey * 7) % 97 AS INT) AS STRING) AS modified, 'N' || CAST(c_nationkey AS STRING) AS country,
       'r' || CAST(c_custkey % 3 AS STRING) AS region, CAST(c_custkey % 13 AS STRING) AS street, CAST(c_custkey % 17 AS STRING) AS zip
       FROM {customer} WHERE c_custkey % 4 <> 0""",
     "web": """SELECT 'W' || CAST(CAST(floor(c_custkey / 2.0) AS BIGINT) AS STRING) AS id, 'p' || CAST(CAST(floor(c_custkey / 2.0) AS BIGINT) AS STRING) AS phone,
@@ -190,7 +190,7 @@ def element_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "forward_crm": lambda s, d: pipeline(s, d, CONTACT).forward("crm").select(F.col("__row").alias("row_id"), F.col("v_email").alias("email"), F.col("v_name").alias("name"), F.col("p_name").alias("name_priority"), F.timestamp_micros("t_segment").cast("date").alias("changed")),
+    "forward_crm": lambda s, d: pipeline(s, d, CONTACT).forward("crm").select(F.col("__row").alias("row_id"), F.col("v_email").alias("email"), F.col("v_name").alias("name"), F.col("p_name").alias("name_priority"), F.timestamp_micros("t_segment").cast("date").cast("string").alias("changed")),
     "identified_contact": lambda s, d: _id(pipeline(s, d, CONTACT).provenance("contact")).select("canonical_id", F.col("_mapping").alias("mapping"), F.col("_src_pk").alias("src_pk")),
     "golden_contact": lambda s, d: _id(pipeline(s, d, CONTACT).record("contact")),
     "contact_updates": contact_updates,
@@ -261,7 +261,7 @@ _TIMES = (
 )
 
 ORACLE: dict[str, str] = {
-    "forward_crm": _with("crm") + " SELECT 'crm:' || id AS row_id, email, name, 1 AS name_priority, CAST(updated_at AS DATE) AS changed FROM crm",
+    "forward_crm": _with("crm") + " SELECT 'crm:' || id AS row_id, email, name, 1 AS name_priority, updated_at AS changed FROM crm",
     "identified_contact": _BOTH + " SELECT canonical_id, 'crm' AS mapping, cid AS src_pk FROM g WHERE cid IS NOT NULL UNION ALL SELECT canonical_id, 'erp', eid FROM g WHERE eid IS NOT NULL",
     "golden_contact": _BOTH + " SELECT canonical_id, email, name, segment FROM g",
     "contact_updates": _BOTH + " SELECT canonical_id, eid AS id, email AS contact_email, name AS contact_name, segment AS seg FROM g WHERE eid IS NOT NULL AND (name IS DISTINCT FROM ename OR segment IS DISTINCT FROM eseg)",
