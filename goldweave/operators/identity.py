@@ -12,10 +12,9 @@ from goldweave.plans.model import Document, Target
 
 
 def group_key(target: Target, group: tuple[str, ...], references: set[str]) -> Column:
-    """The group's values; NULL if any is.  A reference counts as the entity it leads to, else as its text."""
+    """The group's values as one text, each after its length; NULL if any is.  A reference counts as the entity it leads to, else as its text."""
     parts = [F.coalesce(F.concat(F.lit("e:"), f"e_{f}"), F.concat(F.lit("v:"), f"v_{f}")) if f in references else F.col(f"v_{f}") for f in group]
-    whole = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
-    return F.when(whole, F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]))
+    return F.concat(F.lit("k"), *[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])
 
 
 def least_row(rows: DataFrame, key: str, grouped: Column) -> DataFrame:
@@ -41,10 +40,10 @@ def cluster(doc: Document, target: Target, rows: DataFrame, references: set[str]
     if edges is None and len(target.identity) == 1:
         key = group_key(target, target.identity[0], references)
         # a row without a key gets a text of its own: such rows neither match nor meet in one task
-        keyed = rows.withColumn("__key", F.coalesce(F.concat(F.lit("k"), F.to_json(key)), F.concat_ws(":", F.lit("r"), "__m", "__pk")))
+        keyed = rows.withColumn("__key", F.coalesce(key, F.concat_ws(":", F.lit("r"), "__m", "__pk")))
         return least_row(keyed, "__key", F.col("__key").startswith("k"))
     node = F.concat_ws(":", F.lit("r"), "__m", "__pk")
-    found = [rows.select(node.alias("a"), F.concat(F.lit(f"k{i}:"), F.to_json(group_key(target, g, references))).alias("b")).where("b is not null") for i, g in enumerate(target.identity)]
+    found = [rows.select(node.alias("a"), F.concat(F.lit(f"k{i}:"), group_key(target, g, references)).alias("b")).where("b is not null") for i, g in enumerate(target.identity)]
     found += [rows.where("__cluster is not null").select(node.alias("a"), F.concat(F.lit("c:"), "__cluster").alias("b"))]
     found += [] if edges is None else [edges.select("a", "b")]
     linked = components(reduce(DataFrame.union, found), "identity")

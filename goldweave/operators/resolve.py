@@ -51,8 +51,8 @@ def with_authority(doc: Document, target: Target, rows: DataFrame, link: str | N
     return rows.where(F.col("__link").isNull() | (F.col("__m") == F.col("__best"))).drop("__link", "__l", "__best")
 
 
-def golden(target: Target, rows: DataFrame, references: set[str], null_wins: set[str] = frozenset()) -> DataFrame:
-    """``__id``, and for each field ``v_f`` and, for references, ``e_f``: the entity it leads to."""
+def golden(target: Target, rows: DataFrame, references: set[str], null_wins: set[str] = frozenset(), positions: tuple[str, ...] = ()) -> DataFrame:
+    """``__id``, and for each field ``v_f`` and, for references, ``e_f``: the entity it leads to; ``at_m``: its first place in the arrays of mapping m."""
     aggs: list[Column] = []
     groups: dict[str, list[Field]] = {}
     for f in target.fields.values():
@@ -71,8 +71,9 @@ def golden(target: Target, rows: DataFrame, references: set[str], null_wins: set
             key = F.least(none.cast("int"), *[F.col(f"p_{f.name}") for f in fields])
             key = F.struct(key.isNull().alias("a"), key.alias("b"), "__decl", "__pk")
         aggs.append(F.min_by(F.when(some, values), F.when(some, key)).alias(f"g_{name}"))
+    aggs += [F.min(F.when(F.col("__m") == m, F.col("__pos"))).alias(f"at_{m}") for m in positions]
     out = rows.groupBy("__id").agg(*aggs) if aggs else rows.select("__id").distinct()
-    columns = [F.col("__id")]
+    columns = [F.col("__id"), *[F.col(f"at_{m}") for m in positions]]
     for f in target.fields.values():
         if f.strategy == "expression" and _is_query(f.expression):
             continue

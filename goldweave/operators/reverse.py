@@ -111,8 +111,8 @@ class Reverse:
         gone = self.pipe.contributions(m.target, alive=False).where("__soft").select("__id").distinct()
         if any(x.soft_delete for x in self.doc.into(m.target)):
             g = g.join(gone, "__id", "left_anti")
-        at = self.pipe.members(m).groupBy("__id").agg(F.min("__pos").alias("__at"))
-        g = g.join(at, "__id", "left")
+        if f"at_{m.name}" in g.columns:
+            g = g.withColumn("__at", F.col(f"at_{m.name}"))
         inner = self.doc.children(m.name)
         for c in inner:
             if c.array:

@@ -233,7 +233,7 @@ class Pipeline:
 
     def _resolved(self, target: str) -> DataFrame:
         null_wins = {f.target for m in self.doc.into(target) for f in m.fields if f.null_wins}
-        return resolve.golden(self.doc.targets[target], self.contributions(target), self.references(target), null_wins)
+        return resolve.golden(self.doc.targets[target], self.contributions(target), self.references(target), null_wins, tuple(m.name for m in self.doc.into(target) if m.array and any(f.order for f in m.fields)))
 
     def golden(self, target: str) -> DataFrame:
         """One row per entity: ``__id`` and the resolved fields."""
