@@ -112,6 +112,12 @@ def test_patterns_find_unseen_identifiers(spark):
     assert out[100] == [("phone", at, at + 12)] and out[101] == [] and out[102] == []
 
 
+def test_three_seeds_make_a_pattern(spark):
+    rows = [(i, f"please call me at +1 (743) 555-{1000 + i} today") for i in range(3)] + [(100, "you can call me at 555-743-9911 today")]
+    out = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [s["kind"] for s in out[100]] == ["phone"]
+
+
 def test_toxicity(spark, odd):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     for y in (labels, labels.limit(0), labels.where("toxic = 0")):
