@@ -1,11 +1,12 @@
 """Personal data: fixed forms, and contextual extraction bootstrapped from them.
 
 The fixed forms (email, IP address, payment card, phone) are the seeds.  The
-words before a seed are a lexical pattern.  Patterns and the candidate
-identifiers that they precede form a bipartite graph, scored in rounds: a
-pattern is as good as the share of its instances that are believed, an instance
-is as good as its patterns together.  Candidates behind patterns of high
-confidence become further spans.  DataFrame functions only.
+words before a seed, a label or the words after it are lexical patterns.
+Patterns and the candidate identifiers beside them form a bipartite graph,
+scored in rounds: a pattern is as good as the share of its instances that are
+believed, an instance is as good as its best pattern, an identifier as its
+instances together.  Candidates beside patterns of high confidence become
+further spans and seeds of further patterns.  DataFrame functions only.
 
 Quantifiers are possessive and searches start at the edge of a run wherever
 that leaves the matches as they are: Java's backtracking would otherwise take
@@ -85,11 +86,25 @@ def base_spans(text: Column) -> Column:
     return F.concat(*kinds)
 
 
-def left_context(text: Column, start: Column, words: int = 2, reach: int = 64) -> Column:
-    """The last ``words`` words before a place, lower-cased, digits as 0, with the joint; null where there are fewer."""
+def contexts(text: Column, start: Column, stop: Column, reach: int = 64) -> Column:
+    """The contexts of a place that compete, lower-cased, digits as 0: two and one words before, a label before a colon or equals sign, one and two words after.
+
+    Opening brackets and quotes right before the place, and closing ones right after it, are passed over.
+    """
     before = F.lower(F.substring(text, F.greatest(start - reach + 1, F.lit(1)), F.least(start, F.lit(reach))))
-    tail = F.regexp_extract(before, rf"((?:[^\s]{{1,30}}\s{{1,3}}){{{words}}}|[^\s]{{3,30}}[=:])$", 1)
-    return F.when(tail != "", F.regexp_replace(F.regexp_replace(tail, r"\s+", " "), "[0-9]", "0"))
+    before = F.regexp_replace(before, "[(\\[{<\"'`\u201c\u201e\u2018\u00ab]{1,4}$", "")
+    after = F.lower(F.substring(text, stop + 1, reach))
+    one, two = r"[^\s]{1,30}\s{1,3}", r"\s{1,3}([^\s]{1,30})"
+    closed = "^[)\\]}>\"'`\u201d\u201c\u2019\u00bb,;]{0,4}"
+    found = {
+        "2": F.regexp_extract(before, rf"((?:{one}){{2}}|[^\s]{{3,30}}[=:])$", 1),
+        "1": F.regexp_extract(before, rf"({one})$", 1),
+        "label": F.regexp_extract(before, r"([^\s:=]{2,30}\s{0,2}[:=])\s{0,3}$", 1),
+        "next": F.regexp_extract(after, closed + two, 1),
+        "next 2": F.regexp_extract(after, closed + r"(\s{1,3}[^\s]{1,30}\s{1,3}[^\s]{1,30})", 1),
+    }
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "[0-9]", "0")
+    return F.filter(F.array(*[F.when(c != "", F.concat(F.lit(name + "|"), plain(c))) for name, c in found.items()]), lambda c: c.isNotNull())
 
 
 def with_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,43 +113,64 @@ def with_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     df = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     loose = F.when(F.col("text").rlike(r"[0-9]"), located(F.col("text"), CANDIDATE)).otherwise(F.array().cast(_SPAN))
     df = df.withColumn("loose", F.filter(loose, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
-    shape = lambda s, kind: F.struct(kind.alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["surface"]).alias("surface"), left_context(F.col("text"), s["start"]).alias("context"))
+    shape = lambda s, kind: F.struct(kind.alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["surface"]).alias("surface"), contexts(F.col("text"), s["start"], s["stop"]).alias("contexts"))
     seeds = F.transform("base", lambda s: shape(s, s["kind"]))
     others = F.transform("loose", lambda s: shape(s, F.lit(None).cast("string")))
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return df.select("id", F.xxhash64("text").alias("text_key"), plain.alias("base"), F.filter(F.concat(seeds, others), lambda x: x["context"].isNotNull()).alias("instances"))
+    return df.select("id", F.xxhash64("text").alias("text_key"), plain.alias("base"), F.filter(F.concat(seeds, others), lambda x: F.size(x["contexts"]) > 0).alias("instances"))
 
 
 def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
-    """Accepted patterns: (context, kind), from the instances of all documents.
-
-    A pattern needs ``least_seeds`` different seeds of a kind and a score of
-    ``confidence``: the share of all different identifiers behind it that are
-    believed to be of that kind.
+    """Accepted patterns: (context, kind, score), from the instances of all documents.
+
+    A pattern needs ``least_seeds`` different believed identifiers of a kind and
+    a score of ``confidence``: the share of all different identifiers behind it
+    that are believed to be of that kind.  Believed are the seeds and, from
+    generation to generation, the identifiers behind accepted patterns, as much
+    as their best pattern; the patterns are built anew from them until a
+    generation believes nothing new.  Within a generation patterns and
+    identifiers score each other in ``rounds``.
     """
     each = found.select(F.explode("instances").alias("x")).select("x.*")
     # one edge per context and identifier, however many rows repeat it; a seed keeps its kind
-    edges = materialise(each.groupBy("context", "surface").agg(F.max("kind").alias("kind")), "edges")
-    kinds = edges.where(F.col("kind").isNotNull()).groupBy("context", F.col("kind").alias("k")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    graph = materialise(edges.join(kinds.select("context", "k"), "context"), "graph")
-    belief, patterns = None, None
-    for _ in range(rounds):
-        known = F.when(F.col("kind") == F.col("k"), 1.0).when(F.col("kind").isNotNull(), 0.0)
-        trusted = graph if belief is None else graph.join(belief, ["surface", "k"], "left")
-        trusted = trusted.withColumn("trust", F.coalesce(known, F.lit(0.0) if belief is None else F.col("belief"), F.lit(0.0)))
-        # a smoothed share: identifiers of other kinds, and doubtful ones, count against a pattern
-        scored = trusted.groupBy("context", "k").agg((F.sum("trust") / (F.count("*") + 0.5)).alias("score"))
-        patterns = materialise(scored.where(F.col("score") >= 0.5), "patterns")
-        doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6))))
-        belief = graph.where(F.col("kind").isNull()).join(patterns, ["context", "k"]).groupBy("surface", "k").agg((1 - F.exp(doubt)).alias("belief"))
-    best = patterns.where(F.col("score") >= confidence).groupBy("context").agg(F.max(F.struct("score", "k")).alias("b"))
-    return materialise(best.select("context", F.col("b.k").alias("kind")), "accepted")
+    edges = materialise(each.select("surface", "kind", F.explode("contexts").alias("context")).groupBy("context", "surface").agg(F.max("kind").alias("kind")), "edges")
+    # the contexts of one instance compete: only the best of them counts for its identifier
+    places = each.where(F.col("kind").isNull()).select("surface", "contexts").distinct().select("surface", F.xxhash64("contexts").alias("place"), F.explode("contexts").alias("context"))
+    places = materialise(places, "places")
+    believed, accepted, size = None, None, 0
+    while True:
+        rows = edges.withColumns({"k": F.col("kind"), "sure": F.lit(1.0)})
+        if believed is not None:
+            rows = edges.join(believed, "surface", "left").withColumns({"sure": F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("held")), "k": F.coalesce("kind", "held_kind")}).drop("held", "held_kind")
+        kinds = rows.where(F.col("k").isNotNull()).groupBy("context", F.col("k").alias("of")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
+        graph = materialise(rows.join(kinds.select("context", "of"), "context"), "graph")
+        belief, patterns = None, None
+        for _ in range(rounds):
+            known = F.when(F.col("k") == F.col("of"), F.col("sure")).when(F.col("k").isNotNull(), 0.0)
+            trusted = graph if belief is None else graph.join(belief, ["surface", "of"], "left")
+            trusted = trusted.withColumn("trust", F.coalesce(known, F.lit(0.0) if belief is None else F.col("belief"), F.lit(0.0)))
+            # a smoothed share: identifiers of other kinds, and doubtful ones, count against a pattern
+            scored = trusted.groupBy("context", "of").agg((F.sum("trust") / (F.count("*") + 0.5)).alias("score"))
+            patterns = materialise(scored.where(F.col("score") >= 0.5), "patterns")
+            best = places.join(patterns, "context").groupBy("surface", "of", "place").agg(F.max(F.struct("score", "context")).alias("b")).select("surface", "of", "b.*").distinct()
+            doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6))))
+            belief = best.groupBy("surface", "of").agg((1 - F.exp(doubt)).alias("belief"))
+        best = patterns.where(F.col("score") >= confidence).groupBy("context").agg(F.max(F.struct("score", "of")).alias("b"))
+        fresh = best.select("context", F.col("b.of").alias("kind"), F.col("b.score").alias("score"))
+        # a pattern once accepted stays, so that what is believed only grows
+        accepted = materialise(fresh if accepted is None else accepted.unionByName(fresh.join(accepted, "context", "left_anti")), "accepted")
+        behind = edges.where("kind is null").select("context", "surface").join(accepted, "context").groupBy("surface").agg(F.max(F.struct("score", "kind")).alias("b"))
+        believed = materialise(behind.select("surface", F.col("b.kind").alias("held_kind"), F.col("b.score").alias("held")), "believed")
+        before, size = size, believed.count()
+        if size == before:
+            return accepted
 
 
 def added_spans(found: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(id, text_key, added): the candidates behind accepted patterns, whose number is not bounded, so this join is shuffled."""
-    loose = found.select("id", "text_key", F.explode("instances").alias("x")).where(F.col("x.kind").isNull()).select("id", "text_key", "x.context", "x.start", "x.stop")
-    return loose.join(accepted, "context").groupBy("id", "text_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
+    """(id, text_key, added): the candidates with accepted patterns, each of its best pattern's kind; their number is not bounded, so this join is shuffled."""
+    loose = found.select("id", "text_key", F.explode("instances").alias("x")).where(F.col("x.kind").isNull()).select("id", "text_key", "x.start", "x.stop", F.explode("x.contexts").alias("context"))
+    each = loose.join(accepted, "context").groupBy("id", "text_key", "start", "stop").agg(F.max(F.struct("score", "kind")).alias("b"))
+    return each.groupBy("id", "text_key").agg(F.collect_set(F.struct(F.col("b.kind").alias("kind"), "start", "stop")).alias("added"))
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -118,6 +118,24 @@ def test_three_seeds_make_a_pattern(spark):
     assert [s["kind"] for s in out[100]] == ["phone"]
 
 
+def added(spark, rows):
+    out = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    return {r["doc_id"]: [(s["kind"], text[r["doc_id"]][s["start"] : s["stop"]]) for s in r["spans"]] for r in out}
+
+
+def test_contexts_compete_and_patterns_grow(spark):
+    # labels after varying words, at the start of a text, and before brackets
+    rows = [(i, f"word{i}x. Phone: +1 743 555-{1000 + i} thing{i}y") for i in range(20)]
+    rows += [(50, "Phone: 555-743-9911"), (51, "other. Phone: (555-743-9922) ok")]
+    # what a first pattern finds makes a second one, which no seed precedes
+    rows += [(200 + i, f"Phone: 743-111-{2000 + i} q{i}a") for i in range(12)] + [(300 + i, f"zz{i}b handset 743-111-{2000 + i}") for i in range(12)]
+    rows += [(80, "some handset 743-111-7777"), (81, "it was made in 1999-12-31")]
+    out = added(spark, rows)
+    assert out[50] == [("phone", "555-743-9911")] and out[51] == [("phone", "555-743-9922")]
+    assert out[80] == [("phone", "743-111-7777")] and out[81] == []
+
+
 def test_toxicity(spark, odd):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     for y in (labels, labels.limit(0), labels.where("toxic = 0")):
