@@ -32,6 +32,18 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"\.[0-9]++\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: A token that may be an identifier: at least three digits among letters, digits and joints.
 CANDIDATE = r"(?<![A-Za-z0-9._:/@+-])(?=[A-Za-z._:/@+-]*+[0-9][A-Za-z._:/@+-]*+[0-9][A-Za-z._:/@+-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9._:/@-]{4,}+"
+_JOINT = r"[\x20().-]"
+_LEAD = r"(?:\+?\((?=\+?[0-9]{1,5}\))\+?|\+)?+"
+_GROUPS = rf"(?={_LEAD}(?:[0-9]{_JOINT}{{0,3}}+){{7}})(?!{_LEAD}(?:[0-9]{_JOINT}{{0,3}}+){{20}}){_LEAD}[0-9]++(?:{_JOINT}{{1,3}}+[0-9]{{2,}}+)++(?![A-Za-z0-9@])"
+#: Groups of 7 to 19 digits joined by blanks, brackets, points and hyphens, from the first bracket, sign or digit on.
+GROUPS = rf"(?<![A-Za-z0-9._@+/-])(?<![0-9]{_JOINT}{{1,3}}){_GROUPS}"
+_AT, _DOT = r"\x20?[\[({<]\x20?(?i:at)\x20?[\])}>]\x20?", r"\x20?[\[({<]\x20?(?i:dot)\x20?[\])}>]\x20?|\x20(?i:dot)\x20"
+_LABEL, _HOST = r"[A-Za-z][A-Za-z0-9-]*+", r"(?=[0-9-]*+[A-Za-z])[A-Za-z0-9-]++"
+#: Spelled-out addresses: 'bob at corp dot com', 'bob [at] corp.com', 'bob @ corp . com', 'bob@corp'.
+SPELLED = rf"(?<!{_LOCAL}){_LOCAL}++(?:(?:{_DOT}){_LOCAL}++){{0,4}}+(?:(?:{_AT}|\x20?@\x20?){_HOST}(?:(?:{_DOT}|\x20?\.\x20?(?=[A-Za-z]{{2,6}}(?![A-Za-z])))[A-Za-z0-9-]++)*+|\x20(?i:at)\x20{_HOST}(?:(?:{_DOT}|\.){_LABEL})++)"
+#: All of them in one search; a token that begins with a label leaves the groups behind it whole.
+LOOSE = rf"{SPELLED}|{GROUPS}|(?![A-Za-z._-]{{1,30}}+:{_GROUPS}){CANDIDATE}"
+LOOSE_HINT = r"[0-9]|@|[\x20\[({<](?i:at)[\x20\])}>]"
 _SPAN = "array<struct<start:int,stop:int,surface:string>>"
 
 
@@ -107,19 +119,30 @@ def contexts(text: Column, start: Column, stop: Column, reach: int = 64) -> Colu
     return F.filter(F.array(*[F.when(c != "", F.concat(F.lit(name + "|"), plain(c))) for name, c in found.items()]), lambda c: c.isNotNull())
 
 
+def form(surface: Column) -> Column:
+    """What a candidate looks like: ``digits``, ``email``, or null for a token that may be of any kind."""
+    number = surface.rlike(r"^[0-9\x20().+-]+$") & F.length(digits(surface)).between(7, 19)
+    return F.when(number, "digits").when(surface.rlike(r"@|[\x20\[({<](?i:at)[\x20\])}>]"), "email")
+
+
 def with_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text hash, ``base`` spans, and ``instances``: seeds and candidates with their contexts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    loose = F.when(F.col("text").rlike(r"[0-9]"), located(F.col("text"), CANDIDATE)).otherwise(F.array().cast(_SPAN))
+    loose = located(F.col("text"), LOOSE, LOOSE_HINT)
     df = df.withColumn("loose", F.filter(loose, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
-    shape = lambda s, kind: F.struct(kind.alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["surface"]).alias("surface"), contexts(F.col("text"), s["start"], s["stop"]).alias("contexts"))
+    shape = lambda s, kind: F.struct(kind.alias("kind"), form(s["surface"]).alias("form"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["surface"]).alias("surface"), contexts(F.col("text"), s["start"], s["stop"]).alias("contexts"))
     seeds = F.transform("base", lambda s: shape(s, s["kind"]))
     others = F.transform("loose", lambda s: shape(s, F.lit(None).cast("string")))
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     return df.select("id", F.xxhash64("text").alias("text_key"), plain.alias("base"), F.filter(F.concat(seeds, others), lambda x: F.size(x["contexts"]) > 0).alias("instances"))
 
 
+def fits(kind: str) -> Column:
+    """May a candidate of this ``form`` be of the kind in a column?"""
+    return F.col("form").isNull() | F.when(F.col("form") == "email", F.col(kind) == "email").otherwise(F.col(kind).isin("card", "phone", "ip"))
+
+
 def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
     """Accepted patterns: (context, kind, score), from the instances of all documents.
 
@@ -133,7 +156,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidenc
     """
     each = found.select(F.explode("instances").alias("x")).select("x.*")
     # one edge per context and identifier, however many rows repeat it; a seed keeps its kind
-    edges = materialise(each.select("surface", "kind", F.explode("contexts").alias("context")).groupBy("context", "surface").agg(F.max("kind").alias("kind")), "edges")
+    edges = materialise(each.select("surface", "kind", "form", F.explode("contexts").alias("context")).groupBy("context", "surface").agg(F.max("kind").alias("kind"), F.max("form").alias("form")), "edges")
     # the contexts of one instance compete: only the best of them counts for its identifier
     places = each.where(F.col("kind").isNull()).select("surface", "contexts").distinct().select("surface", F.xxhash64("contexts").alias("place"), F.explode("contexts").alias("context"))
     places = materialise(places, "places")
@@ -143,7 +166,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidenc
         if believed is not None:
             rows = edges.join(believed, "surface", "left").withColumns({"sure": F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("held")), "k": F.coalesce("kind", "held_kind")}).drop("held", "held_kind")
         kinds = rows.where(F.col("k").isNotNull()).groupBy("context", F.col("k").alias("of")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
-        graph = materialise(rows.join(kinds.select("context", "of"), "context"), "graph")
+        graph = materialise(rows.join(kinds.select("context", "of"), "context").where(F.col("kind").isNotNull() | fits("of")), "graph")
         belief, patterns = None, None
         for _ in range(rounds):
             known = F.when(F.col("k") == F.col("of"), F.col("sure")).when(F.col("k").isNotNull(), 0.0)
@@ -159,7 +182,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidenc
         fresh = best.select("context", F.col("b.of").alias("kind"), F.col("b.score").alias("score"))
         # a pattern once accepted stays, so that what is believed only grows
         accepted = materialise(fresh if accepted is None else accepted.unionByName(fresh.join(accepted, "context", "left_anti")), "accepted")
-        behind = edges.where("kind is null").select("context", "surface").join(accepted, "context").groupBy("surface").agg(F.max(F.struct("score", "kind")).alias("b"))
+        behind = edges.where("kind is null").select("context", "surface", "form").join(accepted, "context").where(fits("kind")).groupBy("surface").agg(F.max(F.struct("score", "kind")).alias("b"))
         believed = materialise(behind.select("surface", F.col("b.kind").alias("held_kind"), F.col("b.score").alias("held")), "believed")
         before, size = size, believed.count()
         if size == before:
@@ -168,8 +191,8 @@ def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 3, confidenc
 
 def added_spans(found: DataFrame, accepted: DataFrame) -> DataFrame:
     """(id, text_key, added): the candidates with accepted patterns, each of its best pattern's kind; their number is not bounded, so this join is shuffled."""
-    loose = found.select("id", "text_key", F.explode("instances").alias("x")).where(F.col("x.kind").isNull()).select("id", "text_key", "x.start", "x.stop", F.explode("x.contexts").alias("context"))
-    each = loose.join(accepted, "context").groupBy("id", "text_key", "start", "stop").agg(F.max(F.struct("score", "kind")).alias("b"))
+    loose = found.select("id", "text_key", F.explode("instances").alias("x")).where(F.col("x.kind").isNull()).select("id", "text_key", "x.form", "x.start", "x.stop", F.explode("x.contexts").alias("context"))
+    each = loose.join(accepted, "context").where(fits("kind")).groupBy("id", "text_key", "start", "stop").agg(F.max(F.struct("score", "kind")).alias("b"))
     return each.groupBy("id", "text_key").agg(F.collect_set(F.struct(F.col("b.kind").alias("kind"), "start", "stop")).alias("added"))
 
 

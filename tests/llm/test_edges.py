@@ -136,6 +136,15 @@ def test_contexts_compete_and_patterns_grow(spark):
     assert out[80] == [("phone", "743-111-7777")] and out[81] == []
 
 
+def test_candidates_have_the_extent_of_their_kind(spark):
+    rows = [(i, f"please call me at +1 743 555 {1000 + i} today") for i in range(20)] + [(30 + i, f"just write to bob{'abcdefghijklmnopqrst'[i]}@corp.com soon") for i in range(20)]
+    rows += [(60 + i, f"my card is 4111 1111 1111 {n} ok") for i, n in enumerate(["1111", "1129", "1137", "1145", "1152", "1160", "1178", "1186", "1194"])]
+    want = {100: ("phone", "851 555 9673"), 101: ("phone", "(851) 555-9673"), 102: ("email", "bob at corp dot com"), 103: ("email", "eve [at] corp [dot] com"), 104: ("card", "4111 1111 1111 1112")}
+    rows += [(100, "call me at 851 555 9673 today"), (101, "call me at (851) 555-9673 today"), (102, "write to bob at corp dot com soon"), (103, "write to eve [at] corp [dot] com"), (104, "the card is 4111 1111 1111 1112 ok")]
+    out = added(spark, rows)
+    assert {i: out[i] for i in want} == {i: [w] for i, w in want.items()}
+
+
 def test_toxicity(spark, odd):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     for y in (labels, labels.limit(0), labels.where("toxic = 0")):
