@@ -1,6 +1,7 @@
 """Language ID with language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter holds, per slot, one bit for every language; the AND
+A bit-sliced Bloom filter holds, per slot, one bit for every language, in as many
+words of 64 bits as the languages need; the AND
 of an n-gram's slots is the set of all languages that contain it.  A document's
 languages are scored by the share of its n-grams that each contains, corrected
 for the filter's false positives, and the highest corrected share decides.
@@ -8,6 +9,7 @@ for the filter's false positives, and the highest corrected share decides.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,7 +59,7 @@ def slots(gram: np.ndarray, probes: int, log_slots: int) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Filters:
-    """Bit-sliced Bloom filters of up to 64 languages, one table for each n."""
+    """Bit-sliced Bloom filters of all languages, one table (word of 64 languages, slot) for each n."""
 
     languages: tuple[str, ...]
     sizes: tuple[int, ...]
@@ -67,21 +69,21 @@ class Filters:
     expected: np.ndarray  # (n, language): corrected share that the language's own text has
 
     def false_positive(self, t: np.ndarray) -> np.ndarray:
-        fill = np.array([np.count_nonzero(t >> np.uint64(b) & np.uint64(1)) / len(t) for b in range(len(self.languages))])
+        fill = np.array([np.count_nonzero(t[b // 64] >> np.uint64(b % 64) & np.uint64(1)) / t.shape[1] for b in range(len(self.languages))])
         return fill**self.probes
 
 
 def build_filters(counts: list[tuple[str, int]], languages: tuple[str, ...], sizes: tuple[int, ...], probes: int, log_slots: int) -> Filters:
     """``counts``: (language, tagged n-gram) pairs to insert."""
-    tables = [np.zeros(1 << log_slots, dtype=np.uint64) for _ in sizes]
-    bit = {lang: np.uint64(1 << i) for i, lang in enumerate(languages)}
+    tables = [np.zeros((-(-len(languages) // 64), 1 << log_slots), dtype=np.uint64) for _ in sizes]
+    bit = {lang: (i // 64, np.uint64(1 << i % 64)) for i, lang in enumerate(languages)}
     by: dict[tuple[str, int], list[int]] = {}
     for lang, g in counts:
         n = (int(g).bit_length() - 1) // 8  # the tag stands above n bytes
         by.setdefault((lang, n), []).append(g)
     for (lang, n), gs in by.items():
         for at in slots(np.array(gs, dtype=np.uint64), probes, log_slots):
-            np.bitwise_or.at(tables[sizes.index(n)], at, bit[lang])
+            np.bitwise_or.at(tables[sizes.index(n)][bit[lang][0]], at, bit[lang][1])
     return Filters(languages, sizes, probes, log_slots, tuple(tables), np.ones((len(sizes), len(languages))))
 
 
@@ -102,20 +104,22 @@ def _hits(model: Filters, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own, limit = np.array(owners), np.array(limits)
         for k, n in enumerate(model.sizes):
             gram = grams(buffer, n)
-            mask = None
-            for at in slots(gram, model.probes, model.log_slots):
-                found = model.tables[k][at]
-                mask = found if mask is None else mask & found
+            places = slots(gram, model.probes, model.log_slots)
             # windows that begin with two blanks say nothing about a language; a part's windows end inside it
             first = np.minimum(starts, len(gram))
             last = np.maximum(np.minimum(np.minimum(ends - n + 1, starts + limit), len(gram)), first)
             solid = (buffer[: len(gram)] != 32) | (buffer[1 : len(gram) + 1] != 32)
-            mask = np.where(solid, mask, np.uint64(0))
             sums = np.concatenate(([0], np.cumsum(solid)))
             np.add.at(total[:, k], own, sums[last] - sums[first])
-            for b in range(len(model.languages)):
-                sums = np.concatenate(([0], np.cumsum((mask >> np.uint64(b)) & np.uint64(1), dtype=np.int64)))
-                np.add.at(hits[:, k, b], own, sums[last] - sums[first])
+            for w, table in enumerate(model.tables[k]):
+                mask = None
+                for at in places:
+                    found = table[at]
+                    mask = found if mask is None else mask & found
+                mask = np.where(solid, mask, np.uint64(0))
+                for b in range(min(64, len(model.languages) - 64 * w)):
+                    sums = np.concatenate(([0], np.cumsum((mask >> np.uint64(b)) & np.uint64(1), dtype=np.int64)))
+                    np.add.at(hits[:, k, 64 * w + b], own, sums[last] - sums[first])
         parts, owners, limits, size = [], [], [], 0
 
     for i, t in enumerate(texts):
@@ -157,16 +161,17 @@ def fit_filters(
 ) -> Filters:
     """Fit on about ``per_language`` whole texts of each language, chosen by a hash of the row's id.
 
-    The bound is on the sample, whatever the corpus size: 64 languages at most
-    (the most frequent), ``grams_per_language`` n-grams of each length each.
+    The bound is on the sample of each language, whatever the corpus size:
+    ``grams_per_language`` n-grams of each length.  All languages are learned.
     Rows with a null text or language take no part.
     """
     rows = train.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()), key=lambda x: x[0])
+    counts = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()), key=lambda x: x[0])
     languages = tuple(x[0] for x in counts)
     if not languages:
-        return Filters((), sizes, probes, log_slots, tuple(np.zeros(1 << log_slots, dtype=np.uint64) for _ in sizes), np.ones((len(sizes), 0)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_language / n))])
+        return Filters((), sizes, probes, log_slots, tuple(np.zeros((0, 1 << log_slots), dtype=np.uint64) for _ in sizes), np.ones((len(sizes), 0)))
+    # learned languages can be many, so the shares are one map literal and not an expression for each
+    share = F.from_json(F.lit(json.dumps({lang: min(1.0, per_language / n) for lang, n in counts})), "map<string,double>")
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
@@ -224,7 +229,7 @@ def identify(df: DataFrame, model: Filters, text_col: str = "text", lang_out: st
     """
     df = df.drop(lang_out, score_out)
     schema = T.StructType([*df.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: 8 bytes x 2**log_slots for each n
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 8 bytes x 2**log_slots for each n and 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -211,6 +211,15 @@ def test_languages(spark, odd):
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = np.random.default_rng(3)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(6)] for _ in range(70)]
+    train = spark.createDataFrame([(100 * k + i, f"l{k:02}", " ".join(words[k] * 3)) for k in range(70) for i in range(3)], "doc_id long, lang string, text string")
+    model = langid.fit_filters(train)
+    assert len(model.languages) == 70 and all(t.shape[0] == 2 for t in model.tables)
+    assert langid.predict(model, [" ".join(w) for w in words])[0] == [f"l{k:02}" for k in range(70)]
+
+
 def test_chat(spark):
     texts = ["</s>", "[INST] x [/INST]", "\\b\\l\\o\\n", "a\\", "<", "[", "</s", "\n\n", "", None, "😀 </s>[INST] ok [/INST]", "<<s>", "\\</s>", "\\\\l"]
     rows = [(c, t, role, x, "e") for c, x in enumerate(texts) for t, role in enumerate(["system", "user", "assistant", None, "us\ner", "</s>", "\\n"])]
