@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_goldweave_dir", None) or "file://" + tempfile.mkdtemp(prefix="goldweave-")
-        spark._goldweave_dir = found
-    return found
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: survives lost executors and cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/goldweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from goldweave.operators.intermediate import materialise, release
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -30,7 +13,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     The number of rounds grows with the logarithm of the longest chain; each
     round's edges are written down, so plans stay small and a lost executor
-    costs one round.
+    costs one round.  A round's files go when the next one's are there.
     """
     pairs = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     mark = None
@@ -43,7 +26,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small star: the node and every smaller neighbour are tied to the least neighbour
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        pairs = materialise(small.where("u <> v").distinct(), name)
+        after = materialise(small.where("u <> v").distinct(), name)
+        release(pairs, least)
+        pairs = after
         before, mark = mark, pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == mark:
             return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
