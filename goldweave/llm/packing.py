@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm.common import materialise, table
+from goldweave.llm.common import in_arrow, materialise, table
 from goldweave.llm.shards import hilbert_index
 from goldweave.llm.token_counts import _tokenizer, default_tokenizer, safe_pieces
 
@@ -117,7 +117,7 @@ def document_pieces(df: DataFrame, path: str, id_col: str, text_col: str, eos: i
             piece = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(tokens, pa.int64()), pa.array(pieces, piece), pa.array(place, pa.list_(pa.float64()))], names=["id", "tokens", "pieces", "place"])
 
-    return rows.mapInArrow(run, f"id {kind}, tokens bigint, pieces array<struct<start:bigint,length:bigint,ids_crc32:bigint>>, place array<double>")
+    return in_arrow(rows, run, f"id {kind}, tokens bigint, pieces array<struct<start:bigint,length:bigint,ids_crc32:bigint>>, place array<double>")
 
 
 class BestFit:
@@ -193,7 +193,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
                         columns[n].append(v)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), *[pa.array(columns[n], pa.int64()) for n in names]], names=["id", *names])
 
-    packed = ranged.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    packed = in_arrow(ranged, run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
     return packed.withColumnRenamed("id", id_col)
 
 

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm.common import byte_runs, out_batch, table
+from goldweave.llm.common import byte_runs, in_arrow, out_batch, table
 
 #: A single blank between two letters or digits ends a pre-token of byte-level
 #: BPE and belongs to the next one, so a cut before it changes no token.
 SAFE_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+#: The same between ASCII characters only, which no normaliser of a ``.model`` file changes.
+ASCII_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
 def default_tokenizer() -> str:
@@ -39,19 +41,27 @@ def _tokenizer(path: str):
 
 @lru_cache(maxsize=4)
 def _sentencepiece(path: str):
+    """The processor, and whether its texts can be cut before a blank.
+
+    They can if no piece goes on behind a blank and the blank at the head of a
+    cut piece counts as the one between words.
+    """
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    inside = any("\u2581" in model.id_to_piece(i)[1:].lstrip("\u2581") for i in range(model.get_piece_size()))
+    same = all(model.encode(f"{a} {b}") == model.encode(a) + model.encode(f" {b}") for a, b in (("word", "next"), ("X1", "9y"), ("a", "b c d")))
+    return model, same and not inside
 
 
-def safe_pieces(text: str, limit: int) -> list[str]:
+def safe_pieces(text: str, limit: int, boundary: re.Pattern = SAFE_CUT) -> list[str]:
     """``text`` cut at safe boundaries into pieces of about ``limit`` characters.
 
     Where no safe boundary follows, the rest stays one piece.
     """
     pieces, start = [], 0
     while len(text) - start > limit:
-        cut = SAFE_CUT.search(text, start + limit)
+        cut = boundary.search(text, start + limit)
         if cut is None:
             break
         pieces.append(text[start : cut.start()])
@@ -60,31 +70,34 @@ def safe_pieces(text: str, limit: int) -> list[str]:
     return pieces
 
 
-def _lengths(path: str, texts: list[str], piece_chars: int, batch_chars: int) -> list[int]:
+def _lengths(path: str, texts: list[str], piece_chars: int, batch_bytes: int) -> list[int]:
     if path.endswith(".model"):
-        model = _sentencepiece(path)
-        return [len(x) for a, b in byte_runs(texts, batch_chars) for x in model.encode(texts[a:b], num_threads=1)]
-    encode = _tokenizer(path).encode_batch_fast
+        model, divisible = _sentencepiece(path)
+        cut = (lambda t: safe_pieces(t, piece_chars, ASCII_CUT)) if divisible else (lambda t: [t])
+        encode = lambda part: model.encode(part, num_threads=1)
+    else:
+        cut = lambda t: safe_pieces(t, piece_chars)
+        encode = lambda part: _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)
     pieces, owner = [], []
     for i, t in enumerate(texts):
-        for p in safe_pieces(t, piece_chars):
+        for p in cut(t):
             pieces.append(p)
             owner.append(i)
     counts = [0] * len(texts)
-    for a, b in byte_runs(pieces, batch_chars):
-        for i, x in zip(owner[a:b], encode(pieces[a:b], add_special_tokens=False), strict=True):
+    for a, b in byte_runs((len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in pieces), batch_bytes):
+        for i, x in zip(owner[a:b], encode(pieces[a:b]), strict=True):
             counts[i] += len(x)
     return counts
 
 
 def count_tokens(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, limit: int = 512, piece_chars: int = 1 << 16, batch_chars: int = 1 << 19
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, limit: int = 512, piece_chars: int = 1 << 16, batch_bytes: int = 1 << 19
 ) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_tokens``, ``over_limit``.
 
     A null text counts as empty: 0 bytes, 0 tokens.  Rows with a null id and
     repeated rows are counted like any other; other columns are not read.
-    ``piece_chars`` bounds a piece of a long text, ``batch_chars`` a call of the
+    ``piece_chars`` bounds a piece of a long text, ``batch_bytes`` a call of the
     tokenizer; neither changes a count.
     """
     path = tokenizer_path or default_tokenizer()
@@ -93,12 +106,12 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = _lengths(path, b.column("text").to_pylist(), piece_chars, batch_chars)
+            counts = _lengths(path, b.column("text").to_pylist(), piece_chars, batch_bytes)
             ids = b.column("id")
             schema = pa.schema([("id", ids.type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
             yield out_batch(schema, id=ids, n_bytes=b.column("n_bytes"), n_tokens=counts)
 
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint")
+    out = in_arrow(rows, run, f"id {kind}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
