@@ -10,7 +10,6 @@ for the filter's false positives, and the highest corrected share decides.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from goldweave.llm.common import out_batch, table
+from goldweave.llm.common import in_arrow, out_batch, table
 
-#: Any letter; ``str.isalpha`` and this agree.
-LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text handled at once; longer texts go in overlapping chunks.
@@ -69,14 +66,15 @@ class Filters:
     expected: np.ndarray  # (n, language): corrected share that the language's own text has
 
     def false_positive(self, t: np.ndarray) -> np.ndarray:
-        fill = np.array([np.count_nonzero(t[b // 64] >> np.uint64(b % 64) & np.uint64(1)) / t.shape[1] for b in range(len(self.languages))])
+        fill = np.array([np.count_nonzero(t[b // 64] & t.dtype.type(1 << b % 64)) / t.shape[1] for b in range(len(self.languages))])
         return fill**self.probes
 
 
 def build_filters(counts: list[tuple[str, int]], languages: tuple[str, ...], sizes: tuple[int, ...], probes: int, log_slots: int) -> Filters:
     """``counts``: (language, tagged n-gram) pairs to insert."""
-    tables = [np.zeros((-(-len(languages) // 64), 1 << log_slots), dtype=np.uint64) for _ in sizes]
-    bit = {lang: (i // 64, np.uint64(1 << i % 64)) for i, lang in enumerate(languages)}
+    kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= np.iinfo(k).bits), np.uint64)  # a small table stays in the cache
+    tables = [np.zeros((-(-len(languages) // 64), 1 << log_slots), dtype=kind) for _ in sizes]
+    bit = {lang: (i // 64, kind(1 << i % 64)) for i, lang in enumerate(languages)}
     by: dict[tuple[str, int], list[int]] = {}
     for lang, g in counts:
         n = (int(g).bit_length() - 1) // 8  # the tag stands above n bytes
@@ -116,9 +114,9 @@ def _hits(model: Filters, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 for at in places:
                     found = table[at]
                     mask = found if mask is None else mask & found
-                mask = np.where(solid, mask, np.uint64(0))
+                mask = np.where(solid, mask, table.dtype.type(0))
                 for b in range(min(64, len(model.languages) - 64 * w)):
-                    sums = np.concatenate(([0], np.cumsum((mask >> np.uint64(b)) & np.uint64(1), dtype=np.int64)))
+                    sums = np.concatenate(([0], np.cumsum((mask & table.dtype.type(1 << b)) != 0, dtype=np.int64)))
                     np.add.at(hits[:, k, 64 * w + b], own, sums[last] - sums[first])
         parts, owners, limits, size = [], [], [], 0
 
@@ -145,15 +143,21 @@ def shares(model: Filters, texts: list[str]) -> np.ndarray:
     return np.clip((raw - wrong) / np.maximum(1 - wrong, 1e-9), 0, 1)
 
 
-def predict(model: Filters, texts: list[str | None], sharpness: float = 12.0) -> tuple[list[str], list[float]]:
-    """Language and score of each text; ``und`` and 0 where a text is null or has no letter."""
-    known = [bool(t) and LETTER.search(t) is not None for t in texts]
+def predict(model: Filters, texts: list[str | None], sharpness: float = 12.0) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and recognised share of each text; ``und``, 0 and 0 where a text is null or has no letter (Unicode category L).
+
+    The recognised share is the best language's corrected share of the text's
+    n-grams, as a part of what its own texts have; the score is that share (1 at
+    most) times the best language's lead over the others.
+    """
+    known = [bool(t) and any(map(str.isalpha, t)) for t in texts]
     share = shares(model, [t if k else "" for t, k in zip(texts, known, strict=True)])
     fit = (share / np.maximum(model.expected, 1e-3)[None]).mean(axis=1)
     best = fit.argmax(axis=1)
     weight = np.exp(sharpness * (fit - fit.max(axis=1, keepdims=True)))
-    score = weight.max(axis=1) / weight.sum(axis=1) * np.minimum(1, fit.max(axis=1))
-    return [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], [float(s) if k else 0.0 for s, k in zip(score, known, strict=True)]
+    recognised = np.minimum(1, fit.max(axis=1))
+    score = weight.max(axis=1) / weight.sum(axis=1) * recognised
+    return [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], *([float(x) if k else 0.0 for x, k in zip(xs, known, strict=True)] for xs in (score, recognised))
 
 
 def fit_filters(
@@ -195,7 +199,7 @@ def fit_filters(
                     if held:
                         yield out_batch(schema, lang=[lang] * len(held), n=[n] * len(held), gram=list(held), c=list(held.values()))
 
-    counted = sample.mapInArrow(count, "lang string, n int, gram bigint, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    counted = in_arrow(sample, count, "lang string, n int, gram bigint, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     top = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
     kept = counted.where("c > 2").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= grams_per_language)
     pairs = [(r["lang"], r["gram"]) for r in kept.select("lang", "gram").collect()]
@@ -210,7 +214,7 @@ def fit_filters(
                 yield out_batch(schema, lang=langs, n=[k] * len(langs), share=[float(s[i, k, languages.index(x)]) for i, x in enumerate(langs)])
 
     expected = np.ones((len(sizes), len(languages)))
-    for r in sample.mapInArrow(own_share, "lang string, n int, share double").groupBy("lang", "n").agg(F.percentile_approx("share", 0.5).alias("share")).collect():
+    for r in in_arrow(sample, own_share, "lang string, n int, share double").groupBy("lang", "n").agg(F.percentile_approx("share", 0.5).alias("share")).collect():
         expected[r["n"], languages.index(r["lang"])] = r["share"]
     return Filters(languages, sizes, probes, log_slots, model.tables, expected)
 
@@ -220,25 +224,25 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(df: DataFrame, model: Filters, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
-    """``df`` with the predicted language and a score from 0 to 1; every row stays.
+def identify(df: DataFrame, model: Filters, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score", share_out: str = "lang_share") -> DataFrame:
+    """``df`` with the predicted language, a score from 0 to 1 and the recognised share of n-grams (see ``predict``); every row stays.
 
-    A null text or one without a letter is ``und`` with score 0.  With no
-    learned language every text is ``und``.  Existing columns named as the
+    A null text or one without a letter is ``und`` with score and share 0.  With
+    no learned language every text is ``und``.  Existing columns named as the
     outputs are replaced.
     """
-    df = df.drop(lang_out, score_out)
-    schema = T.StructType([*df.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    df = df.drop(lang_out, score_out, share_out)
+    schema = T.StructType([*df.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType()), T.StructField(share_out, T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)  # 8 bytes x 2**log_slots for each n and 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             texts = b.column(text_col).to_pylist()
-            langs, score = predict(m, texts) if m.languages else (["und"] * len(texts), [0.0] * len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, lang_out, score_out])
+            langs, score, share = predict(m, texts) if m.languages else (["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.float64())], names=[*b.schema.names, lang_out, score_out, share_out])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
