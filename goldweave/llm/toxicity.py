@@ -3,7 +3,8 @@
 Features: densities of a fixed seed lexicon and of a lexicon learned from the
 labelled rows (words and word beginnings, by log-odds), closeness to the second
 person, capitals, punctuation, and obfuscated spellings.  The trees are fitted
-on the driver on a bounded sample of labelled rows; scoring is one Arrow pass.
+on the driver on a bounded sample of labelled rows and calibrated by isotonic
+regression on cross-fitted margins; scoring is one Arrow pass.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from goldweave.llm.common import out_batch, table
+from goldweave.llm.common import in_arrow, out_batch, table
 from goldweave.llm.langid import held_out
 
 #: Common insults in English, a start where few labels exist.
@@ -34,11 +35,13 @@ FEATURES = ("log_words", "seed_density", "learned_density", "learned_hits", "lea
 #: Word beginnings that can be learned, in bytes of UTF-8.
 PREFIXES = (4, 5, 6, 8)
 NEAR = 5
+#: Parts of the cross-fit.
+FOLDS = 5
 _FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else b if b == 39 else 32 for b in range(256))
 _SEEDS = frozenset(w.encode() for w in INSULTS)
 _SECOND = frozenset(w.encode() for w in SECOND_PERSON)
-#: Starts at the edge of a run and never backtracks, so very long runs take linear time.
-_ODD = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*]++[^\W\d_]++|(?<![0-9@$])[0-9@$]++[^\W\d_]{2,}+")
+#: A whole run of letters with signs among or before them; starts at the run's edge and never backtracks, so very long runs take linear time.
+_ODD = re.compile(r"(?<![^\W_])(?<![@$*])[^\W\d_]*+(?:[0-9@$!*]++[^\W\d_]++)++[0-9@$]*+")
 _UPPER = re.compile(r"\b[A-ZÀ-ÞĀ-Ž]{3,}\b")
 _UNMASK = str.maketrans(LOOKALIKES)
 _UPPER_BYTES = bytes(range(65, 91))
@@ -64,43 +67,47 @@ class Lexicon:
     clean: int = 0
     counts: dict[bytes, tuple[int, int]] = field(default_factory=dict)
 
-    def weight(self, form: bytes, label: int | None) -> float:
-        """Log-odds of a form; a training text's own share is taken out by its label."""
-        c = self.counts.get(form)
-        if c is None:
-            return 0.0
-        pos, neg, n_pos, n_neg = c[0], c[1], self.toxic, self.clean
-        if label == 1:
-            pos, n_pos = pos - 1, n_pos - 1
-        elif label == 0:
-            neg, n_neg = max(0, neg - 1), n_neg - 1
+    def weight(self, form: bytes) -> float:
+        """Log-odds of a form."""
+        pos, neg = self.counts.get(form, (0, 0))
         if pos < 1:
             return 0.0
-        return max(0.0, math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1)))
+        return max(0.0, math.log((pos + 0.5) / (self.toxic + 1)) - math.log((neg + 0.5) / (self.clean + 1)))
+
+    def without(self, toxic: int, clean: int, counts: dict[bytes, tuple[int, int]]) -> Lexicon:
+        """The lexicon as learned without some of its texts."""
+        less = {f: (pos - counts.get(f, (0, 0))[0], neg - counts.get(f, (0, 0))[1]) for f, (pos, neg) in self.counts.items()}
+        return Lexicon(self.toxic - toxic, self.clean - clean, less)
 
     def __post_init__(self) -> None:
         self.stems = {f[:4] for f in self.counts}
         self.cache: dict[bytes, float] = {}
 
-    def word_weight(self, word: bytes, label: int | None) -> float:
-        if label is None:
-            w = self.cache.get(word)
-            if w is None:
-                w = max(self.weight(f, None) for f in forms(word))
-                if len(self.cache) < 200_000:
-                    self.cache[word] = w
-            return w
-        return max(self.weight(f, label) for f in forms(word))
+    def word_weight(self, word: bytes) -> float:
+        w = self.cache.get(word)
+        if w is None:
+            w = max(self.weight(f) for f in forms(word))
+            if len(self.cache) < 200_000:
+                self.cache[word] = w
+        return w
+
+
+def unmasked(run: str, lexicon: Lexicon) -> bool:
+    """Is a run of letters and signs an insult once its signs are read as letters, a star as any?"""
+    word = run.lower().translate(_UNMASK)
+    if "*" in word:
+        return any(len(s) == len(word) and all(c in ("*", x) for c, x in zip(word, s, strict=True)) for s in INSULTS)
+    return (plain := word.encode()) in _SEEDS or plain in lexicon.counts
 
 
-def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> list[float]:
-    """The features of one whole text; ``label`` only for a row that the lexicon was learned from."""
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
+    """The features of one whole text."""
     if not text:
         return [0.0] * len(FEATURES)
     words = words_of(text)
     n = max(1, len(words))
     stems, weigh = lexicon.stems, lexicon.word_weight
-    learned: dict[int, float] = {i: w for i, x in enumerate(words) if x[:4] in stems and (w := weigh(x, label)) > 0}
+    learned: dict[int, float] = {i: w for i, x in enumerate(words) if x[:4] in stems and (w := weigh(x)) > 0}
     seeds = [i for i, x in enumerate(words) if x in _SEEDS]
     second = [i for i, x in enumerate(words) if x in _SECOND]
     hits = sorted({*learned, *seeds})
@@ -115,7 +122,7 @@ def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> li
     size = len(raw)
     count = lambda keep: size - len(raw.translate(None, keep))
     odd = _ODD.findall(text)
-    unmasked = sum(1 for x in odd for w in [x.lower().translate(_UNMASK).encode()] if w in _SEEDS or w in lexicon.counts) if odd else 0
+    read = sum(unmasked(x, lexicon) for x in odd)
     letters = count(_LETTER_BYTES)
     return [
         math.log1p(len(words)),
@@ -130,7 +137,7 @@ def features(text: str | None, lexicon: Lexicon, label: int | None = None) -> li
         count(_MARKS) / n,
         count(_OTHER_MARKS) / n,
         len(odd) / n,
-        unmasked / n,
+        read / n,
     ]
 
 
@@ -197,12 +204,13 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rat
     return model
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: knots (margin, probability), both rising."""
     order = np.argsort(margin, kind="stable")
-    blocks: list[list[float]] = []  # value sum, count, margin sum
-    for m, v in zip(margin[order], y[order], strict=True):
-        blocks.append([float(v), 1.0, float(m)])
+    weight = np.ones(len(y)) if weight is None else weight
+    blocks: list[list[float]] = []  # value sum, weight, margin sum
+    for m, v, w in zip(margin[order], y[order], weight[order], strict=True):
+        blocks.append([float(v * w), float(w), float(m * w)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             v2, n2, m2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + v2, blocks[-1][1] + n2, blocks[-1][2] + m2]
@@ -231,6 +239,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text take no part; of equal texts one is used; a row labelled twice is
     toxic if any label says so.  Without labels of both classes the score is
     the share of toxic labels, or one half.
+
+    Everything is cross-fitted in ``FOLDS`` parts by a hash of the text: a
+    row's features come from the lexicon without its part, and the margins that
+    calibrate from trees without its part; the final trees learn from all.
     """
     spark = docs.sparkSession
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -240,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = one.where(F.col("y").isin(0, 1) & (draw < share))
     # about toxic_rows + clean_rows ids of 12 bytes, whatever the input: small enough to send everywhere
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
-    sample = sample.groupBy(F.xxhash64("text").alias("text_key")).agg(F.max("y").alias("y"), F.max("text").alias("text")).persist()
+    sample = sample.groupBy(F.xxhash64("text").alias("text_key")).agg(F.max("y").alias("y"), F.max("text").alias("text"))
+    sample = sample.withColumn("fold", F.pmod("text_key", F.lit(FOLDS)).cast("int")).persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("form", pa.binary()), ("pos", pa.int64()), ("neg", pa.int64())])
@@ -251,35 +264,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             every = list({*seen[0], *seen[1]})
             yield out_batch(schema, form=every, pos=[seen[1][f] for f in every], neg=[seen[0][f] for f in every])
 
-    totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
+    by_fold = {(r["fold"], r["y"]): r["n"] for r in sample.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+    n_pos, n_neg = (sum(n for (_, y), n in by_fold.items() if y == c) for c in (1, 0))
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    forms_df = sample.select("y", "text").mapInArrow(count, "form binary, pos bigint, neg bigint").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    forms_df = in_arrow(sample.select("y", "text"), count, "form binary, pos bigint, neg bigint").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     kept = forms_df.where((F.col("pos") >= 3) & (odds > 2.0)).orderBy(F.desc(odds * F.sqrt("pos")), "form").limit(forms_kept).collect()
     lexicon = Lexicon(n_pos, n_neg, {bytes(r["form"]): (r["pos"], r["neg"]) for r in kept})
-    shared = spark.sparkContext.broadcast(lexicon)
+    learned = spark.sparkContext.broadcast(frozenset(lexicon.counts))
+
+    def count_learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("fold", pa.int32()), ("form", pa.binary()), ("pos", pa.int64()), ("neg", pa.int64())])
+        for b in batches:
+            seen: Counter = Counter()
+            for fold, y, t in zip(b.column("fold").to_pylist(), b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
+                seen.update((fold, f, y) for f in learned.value.intersection(f for w in set(words_of(t)) for f in forms(w)))
+            every = list({(fold, f) for fold, f, _ in seen})
+            yield out_batch(schema, fold=[e[0] for e in every], form=[e[1] for e in every], pos=[seen[(*e, 1)] for e in every], neg=[seen[(*e, 0)] for e in every])
+
+    in_fold: list[dict[bytes, tuple[int, int]]] = [{} for _ in range(FOLDS)]
+    for r in in_arrow(sample.select("fold", "y", "text"), count_learned, "fold int, form binary, pos bigint, neg bigint").groupBy("fold", "form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect():
+        in_fold[r["fold"]][bytes(r["form"])] = (r["pos"], r["neg"])
+    shared = spark.sparkContext.broadcast([lexicon.without(by_fold.get((k, 1), 0), by_fold.get((k, 0), 0), in_fold[k]) for k in range(FOLDS)])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+        schema = pa.schema([("key", pa.int64()), ("fold", pa.int32()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
         for b in batches:
-            ys = b.column("y").to_pylist()
-            yield out_batch(schema, key=b.column("text_key"), y=ys, x=[features(t, shared.value, y) for t, y in zip(b.column("text").to_pylist(), ys, strict=True)])
+            folds = b.column("fold").to_pylist()
+            yield out_batch(schema, key=b.column("text_key"), fold=folds, y=b.column("y"), x=[features(t, shared.value[k]) for t, k in zip(b.column("text").to_pylist(), folds, strict=True)])
 
-    rows = sorted(sample.select("text_key", "y", "text").mapInArrow(own, "key bigint, y int, x array<double>").collect())
+    rows = sorted(in_arrow(sample.select("text_key", "fold", "y", "text"), own, "key bigint, fold int, y int, x array<double>").collect())
     sample.unpersist()
-    x, y = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], dtype=np.float64)
-    fold = np.array([r["key"] % 5 == 0 for r in rows], dtype=bool)
+    x, y, fold = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], dtype=np.float64), np.array([r["fold"] for r in rows], dtype=np.int64)
+    margin = np.zeros(len(y))
+    for k in np.unique(fold):
+        margin[fold == k] = fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k])
     # the sample holds the classes in other shares than the labels do; weights set that right in the calibration
-    trees = fit_trees(x[~fold], y[~fold])
-    aside = np.flatnonzero(fold)
-    weight = {c: max(1, round(sizes.get(c, 0) / max(1, totals.get(c, 0)))) for c in (0, 1)}
-    repeated = np.repeat(aside, [weight[int(v)] for v in y[aside]]) if len(aside) else aside
-    knots = isotonic(trees.margin(x[repeated]), y[repeated]) if len(aside) > 20 else (np.zeros(0), np.zeros(0))
-    return Model(lexicon, trees, knots)
+    weight = np.where(y == 1, sizes.get(1, 0) / max(1, n_pos), sizes.get(0, 0) / max(1, n_neg))
+    return Model(lexicon, fit_trees(x, y), isotonic(margin, y, weight))
 
 
 def score_toxicity(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxic_score") -> DataFrame:
-    """``df`` with a score from 0 to 1 for each whole text; every row stays.
+    """``df`` with a score from 0 to 1 for each whole text; every row stays, repeated ones too.
 
     A null or empty text is scored from features that are all 0.  An existing
     column named as the output is replaced.
@@ -295,7 +320,7 @@ def score_toxicity(df: DataFrame, model: Model, text_col: str = "text", out_col:
             score = m.score(x) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, out_col])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def op4_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
