@@ -3,33 +3,43 @@
 Texts are folded to words between single blanks, so a window of an item's words
 occurs in a document exactly where its bytes occur.  A shift table over blocks
 of bytes says how far the search may jump from a position; where it says 0, the
-hash of the suffix block selects the test strings, and direct comparison
-confirms.  The search walks many places of a buffer at once, one numpy lane for
-each stretch of text.
+hash of the suffix block selects a bucket of test strings, and direct
+comparison confirms.  The search walks many places of a buffer at once, one
+numpy lane for each stretch of text.
+
+The tables are built once, on the driver, for a bounded number of windows, and
+sized by it; a larger benchmark takes several passes over the documents.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldweave.llm.common import out_batch, table
+from goldweave.llm.common import in_arrow, materialise, out_batch, table
 
 WINDOW = 10
 #: Digits, lower-case letters and every byte of a non-ASCII character stay; A-Z become a-z; the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LOG, _MIX = 18, np.uint64(0x9E3779B97F4A7C15)
-_PAD = 8
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_PAD = 16
+#: Longest block of the shift table in bytes: about three words, so that blocks of unrelated text are rarely a pattern's.
+BLOCK = 16
+#: Slots of a shift table for each distinct block, and the least and most bits of a table's size.
+SLOTS_PER_BLOCK, LEAST_LOG, MOST_LOG = 12, 16, 26
 #: Bytes of the document texts searched at once.
 BUFFER = 1 << 22
-#: Bytes of benchmark text held by one pass over the documents.
-PASS_BYTES = 32 << 20
+#: Windows of benchmark text held by one pass over the documents.
+PASS_WINDOWS = 1 << 18
+#: Windows of one item that stay together.
+SEGMENT = 4096
 
 
 def fold_words(text: str | None) -> bytes:
@@ -46,12 +56,8 @@ def windows(folded: bytes, size: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))]
 
 
-def _slots(values: np.ndarray) -> np.ndarray:
-    return (values * _MIX) >> np.uint64(64 - _LOG)
-
-
 def _view(buffer: bytes) -> np.ndarray:
-    """Little-endian 8-byte words at every offset of ``buffer``, which ends with 8 bytes of padding."""
+    """Little-endian 8-byte words at every offset of ``buffer`` but its last 7."""
     raw = np.frombuffer(buffer, dtype=np.uint8)
     return np.ndarray((max(0, len(raw) - 7),), dtype="<u8", buffer=raw, strides=(1,))
 
@@ -62,31 +68,43 @@ class PatternTable:
 
     least: int
     block: int
+    log: int
     shift: np.ndarray
-    buckets: dict[int, list[tuple[bytes, int]]]
     starts: np.ndarray  # by the hash of the first bytes: can a pattern start so
+    buckets: dict[int, dict[bytes, int]]  # by the slot of the suffix block
+    words: list[int]  # the numbers of words that patterns have
 
-    @property
-    def block_mask(self) -> np.uint64:
-        return np.uint64((1 << 8 * self.block) - 1)
+    def slots(self, view: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of the blocks that end before each of ``ends``: of their first and last 8 bytes, or all where they are fewer."""
+        if self.block <= 8:
+            mixed = (view[ends - self.block] & np.uint64((1 << 8 * self.block) - 1)) * _MIX
+        else:
+            mixed = (view[ends - self.block] * _MIX ^ (view[ends - 8] + _MIX) * _MIX2) * _MIX
+        return mixed >> np.uint64(64 - self.log)
+
+    def heads(self, view: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Slots of the first bytes at each of ``at``."""
+        return ((view[at] & np.uint64((1 << 8 * min(8, self.least)) - 1)) * _MIX2) >> np.uint64(64 - self.log)
 
 
 def build_table(patterns: list[tuple[bytes, int]], least: int) -> PatternTable:
-    block = min(6, max(1, least // 2))
-    jump = least - block + 1
-    shift = np.full(1 << _LOG, jump, dtype=np.int64)
-    mask = np.uint64((1 << 8 * block) - 1)
-    data = np.frombuffer(b"".join(p[:least] for p, _ in patterns) + b"\0" * _PAD, dtype=np.uint8)
-    view = _view(data.tobytes())
+    block = min(BLOCK, max(1, least // 2))
+    data = b"".join(p[:least] for p, _ in patterns) + b"\0" * _PAD
+    view = _view(data)
     base = np.arange(len(patterns)) * least
-    for end in range(block, least + 1):  # distance of the block's end from the prefix's end
-        np.minimum.at(shift, _slots(view[base + end - block] & mask), least - end)
-    buckets: dict[int, list[tuple[bytes, int]]] = {}
-    for slot, pattern in zip(_slots(view[base + least - block] & mask).tolist(), patterns, strict=True):
-        buckets.setdefault(slot, []).append(pattern)
-    starts = np.zeros(1 << _LOG, dtype=bool)
-    starts[_slots(view[base] & np.uint64((1 << 8 * min(8, least)) - 1))] = True
-    return PatternTable(least, block, shift, buckets, starts)
+    # neighbouring windows share their text, so there are about as many blocks as bytes, not bytes times windows
+    places = np.concatenate([base + end for end in range(block, least + 1)])
+    probe = PatternTable(least, block, 62, np.zeros(0), np.zeros(0), {}, [])
+    distinct = len(np.unique(probe.slots(view, places)))
+    log = min(MOST_LOG, max(LEAST_LOG, math.ceil(math.log2(SLOTS_PER_BLOCK * distinct))))
+    kind = np.uint8 if least - block + 1 < 256 else np.int32
+    out = PatternTable(least, block, log, np.full(1 << log, least - block + 1, dtype=kind), np.zeros(1 << log, dtype=bool), {}, sorted({p.count(b" ") - 1 for p, _ in patterns}))
+    for end in range(block, least + 1):  # from long jumps to none, so the shortest of a slot stays
+        out.shift[out.slots(view, base + end)] = least - end
+    for slot, (pattern, number) in zip(out.slots(view, base + least).tolist(), patterns, strict=True):
+        out.buckets.setdefault(slot, {})[pattern] = number
+    out.starts[out.heads(view, base)] = True
+    return out
 
 
 @dataclass
@@ -98,10 +116,11 @@ class Searcher:
     items: list[tuple[int, ...]]
 
     @classmethod
-    def of(cls, benchmark: list[tuple[object, str | None]], size: int = WINDOW) -> Searcher:
+    def of(cls, benchmark: list[tuple[object, list[bytes]]]) -> Searcher:
+        """For (item id, windows) pairs."""
         ids: dict[bytes, set] = {}
-        for item, text in benchmark:
-            for w in windows(fold_words(text), size):
+        for item, held in benchmark:
+            for w in held:
                 ids.setdefault(w, set()).add(item)
         every = sorted(ids)
         number = {w: i for i, w in enumerate(every)}
@@ -112,28 +131,34 @@ class Searcher:
         return cls(tables, [w.count(b" ") - 1 for w in every], [tuple(ids[w]) for w in every])
 
     def find(self, buffer: bytes) -> list[tuple[int, int]]:
-        """(offset, pattern) of every occurrence in ``buffer``."""
+        """(offset, pattern) of every occurrence in ``buffer``, which consists of folded texts."""
         found: list[tuple[int, int]] = []
-        padded = buffer + b"\0" * _PAD
-        view = _view(padded)
+        view = _view(buffer + b"\0" * _PAD)
+        blank = np.frombuffer(buffer, dtype=np.uint8) == 32
+        blanks = np.flatnonzero(blank)
         for t in self.tables:
             if len(buffer) < t.least:
                 continue
-            prefix = np.uint64((1 << 8 * min(8, t.least)) - 1)
             stretch = max(256, 8 * t.least)
             # a lane owns the prefix ends in its stretch
             ends = np.arange(t.least, len(buffer) + 1, stretch)
             last = np.minimum(ends + stretch, len(buffer) + 1)
             while len(ends):
-                slot = _slots(view[ends - t.block] & t.block_mask)
-                step = t.shift[slot]
+                slot = t.slots(view, ends)
+                step = t.shift[slot].astype(np.int64)
                 hit = np.flatnonzero(step == 0)
                 if len(hit):
                     at = ends[hit] - t.least
-                    ok = t.starts[_slots(view[at] & prefix)]
-                    for offset, s in zip(at[ok].tolist(), slot[hit][ok].tolist(), strict=True):
-                        for pattern, number in t.buckets.get(s, ()):
-                            if padded.startswith(pattern, offset):
+                    ok = np.flatnonzero(blank[at])
+                    ok = ok[t.starts[t.heads(view, at[ok])]]
+                    first = np.searchsorted(blanks, at[ok])
+                    for offset, s, w in zip(at[ok].tolist(), slot[hit][ok].tolist(), first.tolist(), strict=True):
+                        bucket = t.buckets.get(s)
+                        if bucket is None:
+                            continue
+                        # only the text's own window of as many words can be a bucket's string
+                        for k in t.words:
+                            if w + k < len(blanks) and (number := bucket.get(buffer[offset : blanks[w + k] + 1])) is not None:
                                 found.append((offset, number))
                     step = np.maximum(step, 1)
                 ends = ends + step
@@ -190,36 +215,55 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def search_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def benchmark_passes(benchmark: DataFrame, item_col: str, text_col: str, window: int, pass_windows: int) -> Iterator[Broadcast]:
+    """Searchers for all windows of the benchmark, ``pass_windows`` or so in each.
+
+    Items are cut into segments of ``SEGMENT`` windows, whose neighbours overlap
+    by all but one word of a window, and the segments are dealt to the passes.
+    """
+    spark = benchmark.sparkSession
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
+    schema = pa.schema([("item", pa.string()), ("segment", pa.int64()), ("folded", pa.binary()), ("n", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = fold_words(text).split()
+                n = max(1, len(words) - window + 1)
+                rows += [(item, a, b" " + b" ".join(words[a : min(n, a + SEGMENT) + window - 1]) + b" ", min(n, a + SEGMENT) - a) for a in range(0, n, SEGMENT) if words]
+            yield out_batch(schema, **{c: [r[i] for r in rows] for i, c in enumerate(schema.names)})
+
+    parts = materialise(in_arrow(bench, cut, "item string, segment bigint, folded binary, n bigint"), "benchmark_segments")
+    passes = max(1, -(-(parts.agg(F.sum("n")).first()[0] or 0) // pass_windows))
+    for k in range(passes):
+        rows = parts.where(F.pmod(F.xxhash64("item", "segment"), F.lit(passes)) == k).select("item", "folded").collect()  # about pass_windows windows
+        yield spark.sparkContext.broadcast(Searcher.of([(r["item"], windows(bytes(r["folded"]), window)) for r in rows]))
+
+
+def search_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """One row per input row: id, text, ``n_words``, ``hits`` (merged word ranges) and ``items`` (occurring item ids, as strings).
 
     A null text has no words.  Items with a null id or without words take no
     part; repeated items count once.  The benchmark goes to the executors in
-    parts of ``pass_bytes`` at most, one pass over the documents for each, so
+    parts of ``pass_windows`` or so, one pass over the documents for each, so
     its size is bounded whatever it grows to.
     """
-    spark = df.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-size // pass_bytes))
     empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), empty.alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
-    for k in range(passes):
-        rows = bench.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()  # at most about pass_bytes
-        shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
+    for shared in benchmark_passes(benchmark, item_col, item_text_col, window, pass_windows):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher.of(shared.value, window)
             for b in batches:
-                n_words, ranges, items = _scan(searcher, b.column("text").to_pylist())
+                n_words, ranges, items = _scan(shared.value, b.column("text").to_pylist())
                 hits = b.column("hits").to_pylist()
                 before = b.column("items").to_pylist()
                 hits = [[{"a": x, "b": y} for x, y in merged([(h["a"], h["b"]) for h in old] + new)] for old, new in zip(hits, ranges, strict=True)]
                 items = [sorted({*old, *new}) for old, new in zip(before, items, strict=True)]
                 yield out_batch(b.schema, id=b.column("id"), text=b.column("text"), n_words=n_words, hits=hits, items=items)
 
-        out = out.mapInArrow(run, schema)
+        out = in_arrow(out, run, schema)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -237,25 +281,19 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """The rows of ``df`` without a window of any item; nothing else changes.
 
     Null texts and texts without words stay.  The search stops at nothing: each
-    whole text is read, in one pass for each ``pass_bytes`` of the benchmark.
+    whole text is read, in one pass for each ``pass_windows`` of the benchmark.
     """
-    spark = df.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    passes = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // pass_bytes))
     schema = df.schema
-    for k in range(passes):
-        rows = bench.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()  # at most about pass_bytes
-        shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
+    for shared in benchmark_passes(benchmark, item_col, item_text_col, window, pass_windows):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher.of(shared.value, window)
             for b in batches:
-                _, ranges, _ = _scan(searcher, b.column(text_col).to_pylist())
+                _, ranges, _ = _scan(shared.value, b.column(text_col).to_pylist())
                 yield b.filter(pa.array([not r for r in ranges], pa.bool_()))
 
-        df = df.mapInArrow(run, schema)
+        df = in_arrow(df, run, schema)
     return df
