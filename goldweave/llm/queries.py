@@ -9,7 +9,7 @@ from goldweave.llm.langid import op10_language_bitmask
 from goldweave.llm.neardup import op2_bagminhash
 from goldweave.llm.packing import op5_hilbert_packing
 from goldweave.llm.pii import op3_bootstrapped_pii
-from goldweave.llm.shards import op1_hilbert_shards
+from goldweave.llm.shards import OP1_SQL, op1_hilbert_shards
 from goldweave.llm.token_counts import op8_token_counts
 from goldweave.llm.topk import op9_block_topk
 from goldweave.llm.toxicity import op4_toxicity_trees
@@ -67,4 +67,4 @@ r(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.b, r.root FROM r JOI
 SELECT doc_id, class_id FROM documents LEFT JOIN (SELECT id, min(root) AS class_id FROM r GROUP BY id) c ON doc_id = c.id
 """
 
-ORACLE = {"op2_bagminhash": OP2_SQL, "op6_chat_round_trip": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_block_topk": OP9_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+ORACLE = {"op1_hilbert_shards": OP1_SQL, "op2_bagminhash": OP2_SQL, "op6_chat_round_trip": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_block_topk": OP9_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
