@@ -88,7 +88,8 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     Turns are ordered by number; equal numbers by role, then text, and repeated
     rows stay.  A null role or text is empty; rows without a conversation id
     form one conversation.  Other columns are not read.  A conversation is one
-    string in the end, so its rows meet in one task.
+    string in the end, so its rows meet in one task.  A conversation that the
+    last round of escaping doesn't bring back identical is an error.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     turns = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
@@ -98,7 +99,9 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
         same = F.col("turns").eqNullSafe(F.col("source"))
         again = F.when(same, F.col("segments")).otherwise(render(F.col("source"), escape))
         out = out.withColumn("segments", again).withColumn("formatted", formatted(F.col("segments"))).withColumn("turns", F.when(same, F.col("turns")).otherwise(parse(F.col("formatted"))))
-    return out.select("conv_id", "turns", "segments", "formatted")
+    # the last round escapes every character that could conflict; should a text still not come back, say so rather than pass it on
+    closed = F.when(F.col("turns").eqNullSafe(F.col("source")), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("conversation doesn't come back from its rendered text: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
+    return out.select("conv_id", closed.alias("turns"), "segments", "formatted")
 
 
 def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
