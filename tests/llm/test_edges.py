@@ -45,11 +45,56 @@ def test_sentencepiece_counts(odd):
     assert sorted(r["n_tokens"] for r in token_counts.count_tokens(few, tokenizer_path=path).collect()) == sorted(len(model.encode(r["text"] or "")) for r in few.collect())
 
 
+def test_long_texts_of_sentencepiece_are_cut_safely():
+    import glob
+    import os
+
+    import public_tokenizers
+    import sentencepiece
+
+    text = "It's a  test, of 12 345 words\n and <s> more \u00fcn\u00ef ones, \u65e5\u672c \ufb01n X1 9y. " * 60
+    paths = glob.glob(os.path.join(os.path.dirname(public_tokenizers.path("byte_bpe_50k.json")), "*.model"))
+    assert paths
+    for path in paths:
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        assert token_counts._lengths(path, [text, "", "one"], 100, 1000) == [len(model.encode(t)) for t in (text, "", "one")], path
+
+
+def test_hilbert_columns_equal_the_index(spark):
+    rng = np.random.default_rng(4)
+    for dims, bits in ((1, 5), (2, 7), (3, 8), (4, 3)):
+        cells = rng.integers(0, 1 << bits, (200, dims))
+        df = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(cells)], "i long, " + ", ".join(f"x{d} long" for d in range(dims)))
+        got = {r["i"]: r["h"] for r in shards.with_hilbert(df, [f"x{d}" for d in range(dims)], bits, "h").collect()}
+        assert [got[i] for i in range(200)] == shards.hilbert_index(cells, bits).tolist()
+
+
+def test_shards_prune_files(spark, tmp_path):
+    """A filter on two dimensions reads fewer shards than it does of shards cut in the order of ids."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    cells = {"lang": shards.category_cell(F.col("lang"), 8), "source": shards.category_cell(F.col("source"), 8), "size": shards.size_cell(F.col("n_chars"), 8)}
+    curve = shards.hilbert_shards(docs, cells, ["doc_id"])
+    by_id = shards.hilbert_shards(docs, {"one": F.lit(0).cast("long")}, ["doc_id"])
+    lang = docs.where("lang is not null").first()["lang"]
+    read = {}
+    for name, df in (("curve", curve), ("id", by_id)):
+        b = shards.shard_bounds(df, ["lang", "n_chars"])
+        read[name] = b.where((F.col("min_lang") <= lang) & (F.col("max_lang") >= lang) & (F.col("max_n_chars") >= 2000) & (F.col("min_n_chars") < 4000)).count()
+    assert read["id"] >= 35 and read["curve"] <= 12
+    shards.write_shards(curve, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count() and back.select("shard").distinct().count() == 40
+
+
 def test_shards(spark, odd):
     for rows in (odd, odd.limit(0), odd.limit(3)):
         cells = {"a": shards.category_cell(F.col("word"), 8), "b": shards.size_cell(F.length("text"), 8)}
-        out = shards.hilbert_shards(rows.drop("shard"), cells, ["doc_id", "text"], shards=4).collect()
-        assert len(out) == rows.count()
+        # columns called as the outputs are replaced, those called as the operator's own are not
+        rows = rows.withColumns({"hilbert": F.lit("old"), "_place": F.lit("kept"), "_position": F.lit("kept"), "c0": F.lit("kept"), "pos": F.lit("kept")})
+        out = shards.hilbert_shards(rows, cells, ["doc_id", "text"], shards=4)
+        assert sorted(out.columns) == sorted([*rows.columns, "slot"]) and dict(out.dtypes)["shard"] == "int"
+        out = out.collect()
+        assert len(out) == rows.count() and {r[c] for r in out for c in ("_place", "_position", "c0", "pos")} <= {"kept"}
         counts = [sum(r["shard"] == s for r in out) for s in range(4)]
         assert max(counts) - min(counts) <= 1
         assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(c)) for s, c in enumerate(counts))
@@ -64,7 +109,7 @@ def test_near_duplicates(odd):
     assert got[None] == {None}
     assert got[6] == got[7] == {6} and got[8] == got[9] == {8}
     assert all(got[i] == {i} for i in (0, 1, 2, 3, 4, 5, 10, 11))
-    kept = neardup.keep_one(odd, out).collect()
+    kept = neardup.keep_one(odd).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 1, 2, 3, 4, 5, 6, 8, 10, 11]
     assert sum(r["doc_id"] is None for r in kept) == 2
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
@@ -82,6 +127,38 @@ def test_chains_and_repeated_shingles(spark):
     assert got[101] == 100 and got[102] == 102 and got[11] == 0
 
 
+def test_an_id_with_several_texts(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, one), (1, two), (2, one + " tail"), (3, two + " tail"), (4, None), (4, "x y z"), (5, "X y, z!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(tuple(r) for r in neardup.near_duplicates(df).collect())
+    # 1 is in the classes of 2 and of 3, which stay apart; so is 4 in its null text's and in that of 5
+    assert out == [(1, 2), (1, 3), (2, 2), (3, 3), (4, 4), (4, 5), (5, 5)]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in neardup.keep_one(df).collect())
+    assert kept == sorted([(1, one), (1, two), (4, ""), (4, "x y z")])
+
+
+def test_buckets_that_the_lead_leaves_open(spark):
+    """Families around a common core: similar enough to share bands, not all alike; blocks of two make every path run."""
+    rng = np.random.default_rng(5)
+    core = [f"c{i}" for i in range(300)]
+    rows = []
+    for family in range(6):
+        own = core[:]
+        own[20 * family : 20 * family + 12 * (family + 1)] = [f"f{family}x{i}" for i in range(12 * (family + 1))]
+        for k in range(5):
+            text = own[:]
+            at = int(rng.integers(0, 290))
+            text[at : at + 3] = [f"v{family}{k}{i}" for i in range(3)]
+            rows.append((10 * family + k, " ".join(text)))
+    want = brute.classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2, 600):
+        got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, block_docs=block).collect()}
+        assert got == want
+    assert 1 < len(set(want.values())) < len(rows)
+
+
 def test_personal_data(spark, odd):
     out = pii.find_personal_data(odd).collect()
     assert len(out) == odd.count()
@@ -154,6 +231,26 @@ def test_toxicity(spark, odd):
     assert out.limit(0).count() == 0
 
 
+def test_insults_behind_signs():
+    lexicon = toxicity.Lexicon()
+    at = toxicity.FEATURES.index("unmasked_density")
+    for text in ("m0r0n", "a $tup1d one", "1d10t", "so p@thet1c!", "you cl*wn", "L0SER!!"):
+        assert toxicity.features(text, lexicon)[at] > 0, text
+    for text in ("covid19 in 2024", "10th of 3rd", "great!", "a*b = c", "", "0" * 50_000 + "a1" * 50_000):
+        assert toxicity.features(text, lexicon)[at] == 0, text[:40]
+
+
+def test_calibration_is_there_at_any_size(spark):
+    rows = [(i, "you are a vile toad" if i % 2 else f"the house number {i} is blue") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int"))
+    assert len(model.knots[0]) > 0
+    one = toxicity.fit(docs, spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, toxic int"))
+    none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert one.score(np.zeros((1, len(toxicity.FEATURES))))[0] > 0.9
+    assert none.score(np.zeros((1, len(toxicity.FEATURES))))[0] == 0.5
+
+
 def test_packing(odd):
     rows = packing.pack(odd).collect()
     slow = packing._tokenizer(packing.default_tokenizer())
@@ -164,11 +261,12 @@ def test_packing(odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
-def test_decontamination(odd, bench):
+def test_decontamination(odd, bench, monkeypatch):
     every = odd.collect()
     want = sorted(brute.decontaminated([r["text"] for r in every], [(r["item_id"], r["text"]) for r in bench.collect()]))
-    for size in (decontaminate.PASS_BYTES, 40):  # one pass, and several
-        out = decontaminate.search_benchmark(odd, bench, pass_bytes=size).collect()
+    for size, segment in ((decontaminate.PASS_WINDOWS, decontaminate.SEGMENT), (2, 1)):  # one pass, and several
+        monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+        out = decontaminate.search_benchmark(odd, bench, pass_windows=size).collect()
         got = sorted((r["n_words"], sum(h["b"] - h["a"] for h in r["hits"]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) for r in out)
         assert got == want
     assert decontaminate.search_benchmark(odd, bench.limit(0)).where("size(hits) > 0").count() == 0
@@ -178,10 +276,11 @@ def test_decontamination(odd, bench):
 
 def test_top_k(spark):
     rows = [(i, [float(i % 3), 0.5, -0.25]) for i in range(300)] + [(500, None), (501, [1.0, None, 0.0]), (502, [float("nan"), 1.0, 1.0]), (503, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (600, [1.0, 2.0]), (100, [float(100 % 3), 0.5, -0.25])]
-    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    clash = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("v", "score", "rank", "query_id", "asked")})
+    v = topk.quantised(clash, "vec_id", "embedding")
     every = [(r["vec_id"], r["v"]) for r in v.collect()]
-    for cells in (8192, 40):
-        got = [tuple(r) for r in topk.top_k(v, v.where("vec_id % 100 = 0"), block=16, rows_per_cell=cells, queries_per_cell=2).collect()]
+    for slice_bytes, sample in ((1 << 20, 100), (60, 0)):
+        got = [tuple(r) for r in topk.top_k(v, v.where("vec_id % 100 = 0"), block=16, slice_bytes=slice_bytes, sample_rows=sample).collect()]
         want = []
         for q, x in {(q, tuple(x)) for q, x in every if q % 100 == 0}:
             best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in every if i != q and len(y) == len(x))[:10]
@@ -190,6 +289,19 @@ def test_top_k(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_leaves_the_vectors_in_place_and_prunes(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i // 50] + 0.1 * rng.normal(size=16)).tolist()) for i in range(2000)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    plan = topk.top_k(v, v.where("vec_id % 100 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("MapInArrow") and "Exchange" not in plan[plan.index("MapInArrow") :]
+    ids, vectors = np.arange(2000), np.array([r["v"] for r in v.orderBy("vec_id").collect()])
+    best = topk.Best.none(20, 10)
+    scored, met = topk.search_blocks(ids[::100], vectors[::100], np.full(20, np.iinfo(np.int64).min), best, ids, vectors, 50)
+    assert scored < 0.5 * met
+
+
 def test_languages(spark, odd):
     train = spark.createDataFrame([(i, "xx" if i % 2 else "yy", "the house of the king " * 5 if i % 2 else "ñandú corazón después " * 5, "e") for i in range(40)] + [(99, None, "text", "e"), (98, "xx", None, "e")], "doc_id long, lang string, text string, score string")
     model = langid.fit_filters(train)
@@ -211,6 +323,13 @@ def test_languages(spark, odd):
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
+def test_only_letters_count_as_letters(spark):
+    train = spark.createDataFrame([(i, "xx", "the house of the king " * 5) for i in range(9)], "doc_id long, lang string, text string")
+    signs = ["\u00b2", "\u00bd", "\u2460", "\u2167", "12 _ \u0660"]
+    langs = langid.predict(langid.fit_filters(train), [*signs, "\u00aa", "\u02b0"])[0]
+    assert langs == ["und"] * 5 + ["xx"] * 2
+
+
 def test_more_languages_than_a_word_has_bits(spark):
     rng = np.random.default_rng(3)
     words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(6)] for _ in range(70)]
