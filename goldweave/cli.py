@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None) -> int:
         if name == "run":
             p.add_argument("--source", action="append", default=[], metavar="NAME=PATH")
             p.add_argument("--format", default="parquet")
+            p.add_argument("--strict", action="store_true", help="refuse texts that aren't arrays where arrays belong, and several identity groups")
             p.add_argument("--out", required=True, help="folder for one Parquet table per mapping and kind")
     args = parser.parse_args(argv)
     try:
@@ -76,13 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         from goldweave.plans.pipeline import Pipeline
         from goldweave.sources.registry import read
 
-        pipe = Pipeline(doc, read(spark, doc, dict(s.split("=", 1) for s in args.source), args.format))
-        for m in pipe.visible():
-            d = pipe.deltas(m)
-            for kind in ("updates", "inserts", "deletes"):
-                getattr(d, kind).write.mode("overwrite").parquet(f"{args.out}/{m}_{kind}")
-        for t in doc.targets:
-            pipe.record(t).write.mode("overwrite").parquet(f"{args.out}/{t}")
+        Pipeline(doc, read(spark, doc, dict(s.split("=", 1) for s in args.source), args.format), strict=args.strict).write(args.out)
     return 0
 
 

@@ -24,7 +24,43 @@ _TOKEN = re.compile(
 FORBIDDEN = {"insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "copy", "execute", "call", "merge"}
 QUERY = {"select", "from", "join", "union", "with"}
 _TYPES = {"numeric": "decimal(38,18)", "decimal": "decimal(38,18)", "text": "string", "varchar": "string", "string": "string", "integer": "int", "int": "int", "bigint": "bigint", "boolean": "boolean", "bool": "boolean", "timestamptz": "timestamp", "timestamp": "timestamp", "datetime": "timestamp", "date": "date", "double": "double", "float": "double", "jsonb": "string", "json": "string"}
-_RENAMED = {"string_agg": "listagg", "to_char": "date_format", "now": "current_timestamp"}
+_RENAMED = {"string_agg": "listagg", "now": "current_timestamp", "jsonb_array_length": "json_array_length", "btrim": "trim"}
+#: Functions whose call is written otherwise; {0} stands for the arguments.
+_REWRITTEN = {
+    "jsonb_each_text": "explode(from_json({0}, 'map<string,string>'))",
+    "jsonb_array_elements_text": "explode(from_json({0}, 'array<string>'))",
+    "jsonb_object_keys": "explode(json_object_keys({0}))",
+    "jsonb_object_agg": "to_json(map_from_entries(collect_list(struct({0}))))",
+    "jsonb_agg": "to_json(collect_list({0}))",
+    "jsonb_build_object": "to_json(named_struct({0}))",
+    "jsonb_build_array": "to_json(array({0}))",
+}
+_REWRITTEN |= {n.replace("jsonb", "json"): t for n, t in _REWRITTEN.items()}
+#: Letters of date formats, and Spark's.
+_DATE_LETTERS = {"YYYY": "yyyy", "YY": "yy", "MONTH": "MMMM", "MON": "MMM", "MM": "MM", "DDD": "D", "DD": "dd", "DAY": "EEEE", "DY": "EEE", "HH24": "HH", "HH12": "hh", "HH": "hh", "MI": "mm", "SS": "ss", "MS": "SSS", "US": "SSSSSS", "AM": "a", "PM": "a", "Q": "Q", "TZ": "z"}
+_DATE_FORMATTED = ("to_char", "to_date", "to_timestamp")
+
+
+def date_format(pattern: str) -> str | None:
+    """Spark's form of a date format (between its quotes); None for a format of numbers."""
+    pattern = pattern.removeprefix("FM")
+    if not re.search("YY|MM|DD|HH|MI|SS|DAY|DY|MON|Q", pattern.upper()):
+        return None
+    out, at = "", 0
+    while at < len(pattern):
+        if pattern[at] == '"':
+            end = pattern.find('"', at + 1)
+            end = len(pattern) if end < 0 else end
+            out += "''" + pattern[at + 1 : end] + "''"
+            at = end + 1
+            continue
+        known = next((k for k in sorted(_DATE_LETTERS, key=len, reverse=True) if pattern[at : at + len(k)].upper() == k), None)
+        if known is None:
+            out += f"''{pattern[at]}''" if pattern[at].isalpha() else pattern[at]
+        else:
+            out += _DATE_LETTERS[known]
+        at += len(known) if known else 1
+    return out
 
 
 def tokens(text: str) -> list[tuple[str, str]]:
@@ -75,12 +111,20 @@ def to_spark(text: str) -> str:
         if t == "::":
             name = toks[i + 1][1].lower()
             i += 2
-            if i < len(toks) and toks[i][1] == "(":  # numeric(10, 2)
+            size: list[str] = []
+            if i < len(toks) and toks[i][1] == "(":  # numeric(10, 2), varchar(5)
                 while toks[i][1] != ")":
+                    size += [toks[i][1]] * (toks[i][0] == "number")
                     i += 1
                 i += 1
             operand = " ".join(out[primary:])
-            if _TYPES.get(name) == "string":
+            if size and name in ("numeric", "decimal"):
+                out[primary:] = [f"try_cast({operand} AS decimal({size[0]},{size[1] if len(size) > 1 else 0}))"]
+                numeric = False  # its scale is its own, so its zeros stay
+            elif size and _TYPES.get(name) == "string":
+                out[primary:] = [f"left(cast({operand} AS string), {size[0]})"]
+                numeric = False
+            elif _TYPES.get(name) == "string":
                 out[primary:] = [_DECIMAL_TEXT.format(operand) if numeric else f"cast({operand} AS string)"]
                 numeric = False
             elif name in _TYPES:
@@ -114,6 +158,12 @@ def to_spark(text: str) -> str:
                 scale = int(digits)
                 out[start:] = [f"cast({value} - ({value}) % {'1' if not scale else '0.' + '0' * (scale - 1) + '1'} AS decimal(38,{scale}))"]
                 numeric = True
+            elif called in _REWRITTEN:
+                out[start:] = [_REWRITTEN[called].format(" ".join(out[start + 2 : -1]))]
+                numeric = False
+            elif called == "regexp_replace" and out[-3:-1] == [",", "'g'"]:
+                out[-3:] = [")"]  # all occurrences are replaced in any case
+                numeric = False
             else:
                 numeric = False
             primary = start
@@ -126,6 +176,13 @@ def to_spark(text: str) -> str:
                 primary = len(out)
             out.append(t)
             numeric = False
+        elif kind == "string" and stack and stack[-1][1] in _DATE_FORMATTED and out[-1] == ",":
+            primary = len(out)
+            pattern = date_format(t[1:-1])
+            if pattern is not None and stack[-1][1] == "to_char":
+                out[stack[-1][0]] = "date_format"
+            out.append(f"'{pattern}'" if pattern is not None else "'" + t[1:-1].removeprefix("FM") + "'")
+            numeric = False
         elif kind in ("string", "number"):
             primary = len(out)
             out.append(t.replace("\\", "\\\\") if kind == "string" else t)
@@ -161,6 +218,61 @@ def predicate(spec: Any, column) -> Column:
     return F.coalesce(_curated(spec, column), F.lit(False))
 
 
+def descendants(hierarchy: dict[str, str]) -> dict[str, list[str]]:
+    """Every value of a child-to-parent map with itself and all that lies below it; a circle is an error."""
+    out: dict[str, list[str]] = {}
+    for value in {*hierarchy, *hierarchy.values()}:
+        at, seen = value, []
+        while at is not None:
+            if at in seen:
+                raise ExpressionError(f"{value!r} lies below itself")
+            seen.append(at)
+            out.setdefault(at, []).append(value)
+            at = hierarchy.get(at)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def with_descendants(spec: Any, hierarchies: dict[str, dict[str, str]]) -> Any:
+    """A predicate in which a value of a field with a hierarchy also stands for all below it: in =, <>, IN and their curated forms."""
+    spec = pick(spec)
+    if not hierarchies or spec is None:
+        return spec
+    below = {f: descendants(h) for f, h in hierarchies.items()}
+    if not isinstance(spec, str):
+        (op, arg), *_ = spec.items()
+        if op in ("and", "or"):
+            return {op: [with_descendants(s, hierarchies) for s in arg]}
+        if op == "not":
+            return {op: with_descendants(arg, hierarchies)}
+        held = below.get(arg["field"])
+        if held is None or op not in ("equals", "not_equals", "in"):
+            return spec
+        wanted = {"in": {"field": arg["field"], "values": list(dict.fromkeys(v for x in (arg["values"] if op == "in" else [arg["value"]]) for v in held.get(x, [x])))}}
+        return {"not": wanted} if op == "not_equals" else wanted
+    literal = lambda v: "'" + v.replace("'", "''") + "'"
+    toks, out, i = [t for _, t in tokens(spec)], [], 0
+    while i < len(toks):
+        held = below.get(toks[i].strip('"'))
+        after = [t.lower() for t in toks[i + 1 : i + 4]]
+        if held is None or not after or (i and toks[i - 1] == "."):
+            out.append(toks[i])
+            i += 1
+        elif after[0] in ("=", "<>", "!=") and after[1].startswith("'"):
+            value = toks[i + 2][1:-1].replace("''", "'")
+            out += [toks[i], "IN" if after[0] == "=" else "NOT IN", "(" + ", ".join(map(literal, held.get(value, [value]))) + ")"]
+            i += 3
+        elif "in" in after[:2] and (after[0] == "in" or after[0] == "not"):
+            start = i + 3 + after.index("in")
+            end = toks.index(")", start)
+            values = [t[1:-1].replace("''", "'") for t in toks[start:end] if t.startswith("'")]
+            out += toks[i:start] + [", ".join(map(literal, dict.fromkeys(v for x in values for v in held.get(x, [x]))))]
+            i = end
+        else:
+            out.append(toks[i])
+            i += 1
+    return " ".join(out)
+
+
 def predicate_names(spec: Any) -> list[str]:
     """The names that a predicate reads."""
     spec = pick(spec)
@@ -269,7 +381,7 @@ def canonical(c: Column, kind: str | None) -> Column:
     if kind in ("boolean", "bool"):
         flag = text.try_cast("boolean")
         return F.coalesce(flag.cast("string"), text)
-    if kind in ("jsonb", "json"):
+    if kind in ("jsonb", "json") or kind.endswith("[]"):
         return F.coalesce(F.to_json(F.try_parse_json(text)), text)
     return text
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,11 @@ class Deltas:
     inserts: DataFrame
     deletes: DataFrame
     noops: DataFrame
+    action: str = "_action"
 
     def changes(self) -> DataFrame:
         """All of them with ``_action``; columns that one lacks are NULL."""
-        parts = [d.withColumn("_action", F.lit(a)) for a, d in (("update", self.updates), ("insert", self.inserts), ("delete", self.deletes))]
+        parts = [d.withColumn(self.action, F.lit(a)) for a, d in (("update", self.updates), ("insert", self.inserts), ("delete", self.deletes))]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
@@ -63,22 +65,42 @@ def classified(frame: DataFrame, may_insert: bool, written: DataFrame | None = N
     return frame.withColumn("_action", action)
 
 
-def deltas(rows: DataFrame, orphans: DataFrame, key: list[str], columns: list[str], passthrough: list[str], hide_key: bool = False) -> Deltas:
-    """Wide frames from classified rows; ``orphans``: source rows without an entity (``__own``)."""
-    out = lambda n: F.try_element_at("out", F.lit(n))
-    own = lambda n: F.try_element_at("__own", F.lit(n))
-    keys = [] if hide_key else [k for k in key if k not in columns]
+@dataclass(frozen=True)
+class Shape:
+    """What the rows of a mapping's deltas hold.
+
+    ``own`` gives the row's own text of a column; ``key`` and ``columns`` are
+    written, ``passthrough`` and, for ``base``, the whole row are its own.
+    ``gates`` says which actions always need confirmation, if any ever do.
+    """
 
-    def picked(df: DataFrame, value, key_value) -> DataFrame:
-        extra: list[Column] = [own(n).alias(n) for n in passthrough if n not in columns and n not in keys]
-        return df.select(F.col("__id").alias("_canonical_id"), *[key_value(k).alias(k) for k in keys], *[value(n).alias(n) for n in columns], *extra)
+    key: list[str]
+    columns: list[str]
+    passthrough: list[str]
+    own: Callable[[str], Column]
+    base: list[str] | None = None
+    gates: dict[str, bool] | None = None
+    entity: str = "_canonical_id"
+    action: str = "_action"
 
+
+def deltas(rows: DataFrame, shape: Shape) -> Deltas:
+    """Wide frames from classified rows."""
+    out = lambda n: F.try_element_at("out", F.lit(n))
     null = lambda n: F.lit(None).cast("string")
-    kept = lambda n: F.coalesce(own(n), out(n)) if n in key else out(n)
-    gone = rows.where("_action = 'delete'").select("__id", "__own").unionByName(orphans.select("__id", "__own"))
-    return Deltas(
-        picked(rows.where("_action = 'update'"), kept, own),
-        picked(rows.where("_action = 'insert'"), out, null),
-        picked(gone, own, own),
-        picked(rows.where("_action = 'noop'"), kept, own),
-    )
+    own = shape.own
+    keys = [k for k in shape.key if k not in shape.columns]
+    kept = lambda n: F.coalesce(own(n), out(n)) if n in shape.key else out(n)
+
+    def picked(action: str, value, key_value) -> DataFrame:
+        extra: list[Column] = [own(n).alias(n) for n in shape.passthrough if n not in shape.columns and n not in keys]
+        if shape.base is not None:
+            whole = F.to_json(F.struct(*[own(n).alias(n) for n in shape.base]), {"ignoreNullFields": "false"})
+            extra.append((whole if action != "insert" else F.lit(None).cast("string")).alias("_base"))
+        if shape.gates is not None:
+            asked = F.lit(shape.gates.get(action, False)) | F.col("__ask_when") | (F.col("__ask_field") if action in ("update", "insert") else F.lit(False))
+            extra.append((asked if action != "noop" else F.lit(False)).alias("_requires_confirmation"))
+        found = rows.where(F.col("_action") == action)
+        return found.select(F.col("__id").alias(shape.entity), *[key_value(k).alias(k) for k in keys], *[value(n).alias(n) for n in shape.columns], *extra)
+
+    return Deltas(picked("update", kept, own), picked("insert", out, null), picked("delete", own, own), picked("noop", kept, own), shape.action)

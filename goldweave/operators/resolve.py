@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.functions import expressions as X
 from goldweave.operators.forward import NULL_VALUE
-from goldweave.plans.model import Document, Field, Target
+from goldweave.plans.model import Document, DocumentError, Field, Target
 
 
 def order(strategy: str, name: str) -> Column:
@@ -58,7 +61,7 @@ def golden(target: Target, rows: DataFrame, references: set[str], null_wins: set
     for f in target.fields.values():
         if f.group:
             groups.setdefault(f.group, []).append(f)
-        elif not (f.strategy == "expression" and _is_query(f.expression)):
+        elif not is_enriched(f):
             aggs.append(_resolved(f, f.name in references, f"x_{f.name}" in rows.columns).alias(f"r_{f.name}"))
     for name, fields in groups.items():
         values = F.struct(*[F.col(f"v_{f.name}").alias(f.name) for f in fields])
@@ -75,7 +78,7 @@ def golden(target: Target, rows: DataFrame, references: set[str], null_wins: set
     out = rows.groupBy("__id").agg(*aggs) if aggs else rows.select("__id").distinct()
     columns = [F.col("__id"), *[F.col(f"at_{m}") for m in positions]]
     for f in target.fields.values():
-        if f.strategy == "expression" and _is_query(f.expression):
+        if is_enriched(f):
             continue
         value = F.col(f"g_{f.group}")[f.name] if f.group else F.col(f"r_{f.name}")["v"] if f.strategy in ("coalesce", "last_modified", "identity") else F.col(f"r_{f.name}")
         if f.name in null_wins:
@@ -102,6 +105,9 @@ def _resolved(f: Field, reference: bool, echo: bool) -> Column:
         return F.min_by(F.when(good, pair), F.when(good, order(f.strategy, f.name)))
     if f.strategy == "identity":
         return F.min(F.when(good, pair))
+    if f.strategy in ("collect", "multi_value") and f.element:
+        held = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.from_json(value, "array<string>")))))
+        return F.when(F.size(held) > 0, F.to_json(held))
     if f.strategy in ("collect", "multi_value"):
         held = F.array_sort(F.collect_set(value))
         return F.when(F.size(held) > 0, F.to_json(held))
@@ -125,6 +131,17 @@ def _is_query(text: str | None) -> bool:
     return bool(text) and any(k == "ident" and t.lower() == "select" for k, t in X.tokens(text))
 
 
+def _dotted(text: str) -> set[str]:
+    """The names before a dot in an expression."""
+    toks = X.tokens(text)
+    return {t for i, (k, t) in enumerate(toks) if k == "ident" and toks[i + 1 : i + 2] and toks[i + 1][1] == "."}
+
+
+def is_enriched(f: Field) -> bool:
+    """Does a field take its value from other targets: by a query, by ``from`` and ``match``, or by a dotted name?"""
+    return f.strategy == "expression" and (f.from_ is not None or _is_query(f.expression) or bool(_dotted(f.expression)))
+
+
 def _text(value) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
@@ -139,15 +156,75 @@ def _outer(text: str, name: str) -> str:
     return " ".join("outer_row" if w == name and words[i + 1 : i + 2] == ["."] else t for i, (w, (_, t)) in enumerate(zip(words, toks, strict=True)))
 
 
-def enriched(target: Target, resolved: dict[str, DataFrame]) -> DataFrame:
-    """The golden record with fields that query other resolved targets."""
-    out = resolved[target.name]
-    fields = [f for f in target.fields.values() if f.strategy == "expression" and _is_query(f.expression)]
-    if not fields:
-        return out
+def enriched(doc: Document, target: Target, resolved: Callable[[str], DataFrame], refers: Callable[[str, str], str | None]) -> DataFrame:
+    """The golden record with the fields that other resolved targets give.
+
+    ``resolved`` gives a target's other fields, ``refers(target, field)`` the
+    target that a field refers to.
+    """
+    out = resolved(target.name)
+    queries = []
+    for f in target.fields.values():
+        if not is_enriched(f):
+            continue
+        if f.from_ is not None:
+            out = _matched(f, out, resolved(f.from_))
+        elif _is_query(f.expression):
+            queries.append(f)
+        else:
+            out = _followed(doc, target, f, out, resolved, refers)
+    return _queried(doc, target, queries, out, resolved) if queries else out
+
+
+def _matched(f: Field, out: DataFrame, remote: DataFrame) -> DataFrame:
+    """An aggregate over the entities of another target whose fields equal this one's; over none, what it gives for no rows."""
+    names = [c[2:] for c in remote.columns if c.startswith("v_")]
+    plain = remote.select(*[F.col(f"v_{n}").alias(n) for n in names])
+    value = F.expr(X.to_spark(f.expression)).cast("string")
+    keys = {r: f"__m_{i}" for i, r in enumerate(f.match)}
+    by_key = plain.groupBy(*[F.col(r).alias(k) for r, k in keys.items()]).agg(value.alias("__value"), F.lit(True).alias("__some"))
+    nothing = plain.where("false").agg(value.alias("v")).first()["v"]
+    on = reduce(lambda a, b: a & b, [F.col(f"v_{f.match[r]}") == F.col(k) for r, k in keys.items()])
+    found = F.when(F.col("__some"), F.col("__value")).otherwise(F.lit(nothing))
+    return out.join(by_key, on, "left").withColumn(f"v_{f.name}", X.canonical(found, f.type)).drop("__value", "__some", *keys.values())
+
+
+def _followed(doc: Document, target: Target, f: Field, out: DataFrame, resolved: Callable[[str], DataFrame], refers: Callable[[str, str], str | None]) -> DataFrame:
+    """An expression over ``other.field``: of the entities of ``other`` that refer to this one."""
+    (name, *more) = sorted(_dotted(f.expression))
+    if more or name not in doc.targets:
+        raise DocumentError([(f"/targets/{target.name}/fields/{f.name}/expression", f"{', '.join([name, *more])}: a dotted name leads to one other target")])
+    link = next((x for x in doc.targets[name].fields if refers(name, x) == target.name), None)
+    if link is None:
+        raise DocumentError([(f"/targets/{target.name}/fields/{f.name}/expression", f"no field of {name} refers to {target.name}")])
+    toks, text, local = X.tokens(f.expression), [], []
+    i = 0
+    while i < len(toks):
+        if toks[i][1] == name and toks[i + 1 : i + 2] and toks[i + 1][1] == ".":
+            text.append(f"__far_{toks[i + 2][1]}")
+            i += 3
+            continue
+        if toks[i][0] == "ident" and toks[i][1] in target.fields and toks[i + 1 : i + 2] != [("op", "(")]:
+            local.append(toks[i][1])
+            text.append(f"__near_{toks[i][1]}")
+        else:
+            text.append(toks[i][1])
+        i += 1
+    far = resolved(name)
+    far = far.select(F.col(f"e_{link}").alias("__to"), *[F.col(c).alias(f"__far_{c[2:]}") for c in far.columns if c.startswith("v_")])
+    near = out.select("__id", *[F.col(f"v_{n}").alias(f"__near_{n}") for n in dict.fromkeys(local)])
+    value = X.canonical(F.expr(X.to_spark(" ".join(text))).cast("string"), f.type)
+    keys = ["__id", *[f"__near_{n}" for n in dict.fromkeys(local)]]
+    return out.join(near.join(far, F.col("__id") == F.col("__to"), "left").groupBy(*keys).agg(value.alias(f"v_{f.name}")).select("__id", f"v_{f.name}"), "__id", "left")
+
+
+def _queried(doc: Document, target: Target, fields: list[Field], out: DataFrame, resolved: Callable[[str], DataFrame]) -> DataFrame:
     spark = out.sparkSession
-    for name, df in resolved.items():
-        df.select("__id", *[F.col(c).alias(c[2:]) for c in df.columns if c.startswith("v_")]).createOrReplaceTempView(name)
+    words = {t for f in fields for _, t in X.tokens(f.expression)}
+    for name in doc.targets:
+        if name in words or name == target.name:
+            df = out if name == target.name else resolved(name)
+            df.select("__id", *[F.col(c).alias(c[2:]) for c in df.columns if c.startswith("v_")]).createOrReplaceTempView(name)
     # the outer row has a name of its own: a column of an inner table may be called as the target is
     picked = ", ".join(f"({X.to_spark(_outer(f.expression, target.name))}) AS `{f.name}`" for f in fields)
     extra = spark.sql(f"SELECT outer_row.__id AS __id, {picked} FROM `{target.name}` AS outer_row")

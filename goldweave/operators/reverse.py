@@ -6,11 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from goldweave.functions import expressions as X
 from goldweave.functions.jsonpath import parse_path, write_paths
 from goldweave.operators.forward import ELEMENTS
+from goldweave.operators.ordered import linked_positions
 from goldweave.plans.model import FieldMap, Mapping
+from goldweave.sources.registry import text_of
 
 
 class Reverse:
@@ -48,12 +51,16 @@ class Reverse:
             elif f.value_map is not None or f.reverse_value_map is not None:
                 table = f.reverse_value_map or {v: k for k, v in f.value_map.items()}
                 plain = plain.withColumn(f"w_{i}", X.mapped_value(F.col(f"w_{i}"), table, f.value_map_fallback))
-        good = X.predicate(m.reverse_filter, F.col) if m.reverse_filter is not None else F.lit(True)
+        kinds = {n: f.hierarchy for n, f in target.fields.items() if f.hierarchy}
+        good = X.predicate(X.with_descendants(m.reverse_filter, kinds), F.col) if m.reverse_filter is not None else F.lit(True)
         for f in m.fields:
             if f.reverse_required:
                 i = next((i for i, x in enumerate(self.lines(m)) if x is f), None)
                 good = good & (F.col(f"w_{i}") if i is not None else F.col(f"v_{f.target}")).isNotNull()
-        return plain.withColumn("__pass", good).drop(*names)
+        plain = plain.withColumn("__pass", good)
+        if m.gated:
+            plain = plain.withColumn("__ask_when", X.predicate(m.confirm_when, F.col) if m.confirm_when is not None else F.lit(False))
+        return plain.drop(*names)
 
     def kind(self, m: Mapping, f: FieldMap) -> str | None:
         if f.target is None:
@@ -92,19 +99,25 @@ class Reverse:
             if t.fields[name].type in ("numeric", "integer"):
                 n = c.try_cast("decimal(38,18)")
                 return [n.isNull(), -n if descending else n]
-            # text: descending order by complemented code points
-            return [c.isNull(), c] if not descending else [c.isNull(), F.transform(F.split(c, ""), lambda x: -F.ascii(x))]
+            # text: descending order by complemented code points, closed by one above them all, so that a text goes before its own beginnings
+            return [c.isNull(), c] if not descending else [c.isNull(), F.concat(F.transform(F.split(c, ""), lambda x: -F.ascii(x)), F.array(F.lit(1)))]
 
         for s in m.sort:
             keys += of(s["field"], s.get("direction") == "desc")
         for f in m.fields:
             if f.order and not m.sort:
                 keys += [F.col(f"v_{f.target}").isNull(), F.col(f"v_{f.target}"), F.col("__at").isNull(), F.col("__at")]
+        if self.chained(m):
+            keys += [F.col("__chain").isNull(), F.col("__chain")]
         for g in t.identity:
             for name in g:
                 keys += of(name)
         return [*keys, F.col("__id")]
 
+    def chained(self, m: Mapping) -> bool:
+        """Is a mapping's order that of the resolved neighbours alone?"""
+        return any(f.order_prev for f in m.fields) and not any(f.order for f in m.fields) and not m.sort
+
     def elements(self, m: Mapping) -> DataFrame:
         """(parent, items): each parent entity's elements in this mapping's shape, as an array."""
         g = self.resolved(m, self.pipe.golden(m.target)).where("__pass")
@@ -126,6 +139,10 @@ class Reverse:
             g = g.join(ids, reduce(lambda a, b: a & b, [F.col(f"v_{c}") == F.col(f"up_{i}") for i, (c, _) in enumerate(equal)]))
         else:
             raise ValueError(f"mapping {m.name}: no parent field links its elements")
+        if self.chained(m):
+            own = [f for x in self.doc.targets[m.target].identity for f in x if m.field_of(f) is None or m.field_of(f).source not in m.parent_fields]
+            neighbour = lambda kind: next(F.col(f"v_{f.target}") for f in m.fields if getattr(f, kind) and f.target)
+            g = linked_positions(g, own, neighbour("order_prev"), neighbour("order_next"))
         item = self.item(m)
         keys = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(self.order(m))])
         lists = g.where("parent is not null").groupBy("parent").agg(F.array_sort(F.collect_list(F.struct(keys.alias("k"), item.alias("x")))).alias("s"))
@@ -162,9 +179,11 @@ class Reverse:
 
         return F.transform(items, shape)
 
-    def own_elements(self, m: Mapping, text: Column) -> Column:
-        """A source's own array in the shape of ``elements``: mapped keys only, values canonical."""
+    def own_elements(self, m: Mapping, text: Column, kind: T.DataType | None = None) -> Column:
+        """A source's own array, native (of type ``kind``) or JSON text, in the shape of ``elements``: mapped keys only, values canonical."""
         lines = self.lines(m)
+        if isinstance(kind, T.ArrayType):
+            return self._own_native(m, text, kind)
         for step in m.array[1:]:
             outer = F.from_json(text, ELEMENTS)
             text = F.to_json(F.flatten(F.transform(outer, lambda o: F.coalesce(F.from_json(F.try_element_at(o, F.lit(step)), ELEMENTS), F.array().cast(ELEMENTS)))))
@@ -178,6 +197,29 @@ class Reverse:
 
         return F.coalesce(F.transform(F.from_json(text, ELEMENTS), shape), F.array().cast(self.type(m)))
 
+    def _own_native(self, m: Mapping, items: Column, kind: T.ArrayType) -> Column:
+        lines = self.lines(m)
+        for step in m.array[1:]:
+            inner = {f.name: f.dataType for f in kind.elementType}.get(step) if isinstance(kind.elementType, T.StructType) else None
+            if not isinstance(inner, T.ArrayType):
+                return F.array().cast(self.type(m))
+            items, kind = F.flatten(F.transform(items, lambda o, step=step, inner=inner: F.coalesce(o[step], F.array().cast(inner)))), inner
+        if not isinstance(kind.elementType, T.StructType):
+            texts = F.transform(items, lambda x: text_of(x, kind.elementType))
+            return F.coalesce(texts, F.array().cast("array<string>")) if any(f.scalar for f in lines) else self.own_elements(m, F.to_json(F.transform(texts, F.try_parse_json)))
+        held = {f.name: f.dataType for f in kind.elementType}
+
+        def shape(x: Column) -> Column:
+            parts = [X.canonical(text_of(x[f.source], held[f.source]) if f.source in held else F.lit(None).cast("string"), self.kind(m, f)).alias(f.source) for f in lines]
+            for c in self.doc.children(m.name):
+                if c.array:
+                    inner = held.get(c.array[0])
+                    own = x[c.array[0]] if inner is not None else F.lit(None).cast("string")
+                    parts.append(self.own_elements(c, own if isinstance(inner, T.ArrayType) or inner is None else text_of(own, inner), inner).alias(c.array[0]))
+            return F.struct(*parts)
+
+        return F.coalesce(F.transform(items, shape), F.array().cast(self.type(m)))
+
     # frames
 
     def columns(self, m: Mapping) -> list[str]:
@@ -203,9 +245,9 @@ class Reverse:
         mine = members.select("__id", "__pk", "__own", "__soft", *[F.struct(f"v_{f.target}", f"e_{f.target}", f"k_{f.target}").alias(f"m_{f.target}") for f in {f.target: f for f in own_ref}.values()], *[F.col(f"v_{f.target}").alias(f"i_{f.target}") for f in {f.target: f for f in lines if self.keep_own(m, f)}.values()])
         j = g.join(mine, "__id", "left")
         there = F.col("__pk").isNotNull()
-        own = lambda n: F.try_element_at("__own", F.lit(n))
+        own = lambda n: self.pipe.scope.own_text(m, n)
         outs: dict[str, Column] = {}
-        paths: dict[str, list[tuple[list, Column]]] = {}
+        paths: dict[str, list[tuple[list, Column, str | None]]] = {}
         compared: list[tuple[str, str, object]] = []
         for i, f in enumerate(lines):
             value = F.col(f"w_{i}")
@@ -223,12 +265,13 @@ class Reverse:
                     compared.append((name, "", None))
             elif f.source_path:
                 steps = parse_path(f.source_path)
-                paths.setdefault(steps[0], []).append((steps[1:], value))
+                paths.setdefault(steps[0], []).append((steps[1:], value, self.kind(m, f)))
             else:
                 outs[f.source] = value
                 compared.append((f.source, self.kind(m, f) or "", f.normalize))
-        for name, held in paths.items():
-            outs[name] = X.canonical(write_paths(own(name), [p for p, _ in held], [v for _, v in held]), "jsonb")
+        for k, (name, held) in enumerate(paths.items()):
+            j = write_paths(j, own(name), held, f"__doc_{k}")
+            outs[name] = X.canonical(F.col(f"__doc_{k}"), "jsonb")
             compared.append((name, "jsonb", None))
         j = j.withColumns({f"out_{i}": v for i, v in enumerate(outs.values())})
         names = list(outs)
@@ -244,13 +287,14 @@ class Reverse:
             if not c.array:
                 continue
             items = F.coalesce(F.col(f"a_{c.name}"), F.array().cast(self.type(c)))
-            differs.append(~items.eqNullSafe(self.own_elements(c, own(c.array[0]))))
+            differs.append(~items.eqNullSafe(self.own_elements(c, self.pipe.scope.own_value(m, c.array[0]), self.pipe.scope.array_kind(c))))
             whole = self.typed(c, items)
             for step in reversed(c.array[1:]):
                 whole = F.array(F.struct(whole.alias(step)))
             pairs.append((c.array[0], F.to_json(whole, {"ignoreNullFields": "false"})))
         out = F.create_map(*[x for n, v in pairs for x in (F.lit(n), v)]) if pairs else F.create_map(F.lit(""), F.lit(None).cast("string"))
-        j = j.select("__id", "__pk", "__own", "__soft", "__pass", out.alias("out"), (reduce(lambda a, b: a | b, differs) if differs else F.lit(False)).alias("differs"))
+        ask = self.confirmations(m, [names.index(n) for f in lines if f.confirm for n in (f.sources or [parse_path(f.source_path)[0] if f.source_path else f.source])])
+        j = j.select("__id", "__pk", "__own", "__soft", "__pass", out.alias("out"), (reduce(lambda a, b: a | b, differs) if differs else F.lit(False)).alias("differs"), *ask)
         for c in self.doc.children(m.name):
             if c.embedded and self.lines(c):
                 k = self.frame(c).where("__pk is not null").select("__pk", F.col("out").alias("c_out"), F.col("differs").alias("c_differs"))
@@ -259,3 +303,10 @@ class Reverse:
                 merged = F.map_concat(F.map_filter("out", lambda k, _: ~k.isin(names_c)), F.coalesce("c_out", F.create_map(*[x for n in names_c for x in (F.lit(n), F.lit(None).cast("string"))])))
                 j = j.withColumn("out", merged).withColumn("differs", F.col("differs") | F.coalesce("c_differs", F.lit(False))).drop("c_out", "c_differs")
         return j
+
+    def confirmations(self, m: Mapping, fields: list[int]) -> list[Column]:
+        """``__ask_when`` and ``__ask_field``, if a mapping has gates: the entity's rule, and whether a gated column changes."""
+        if not m.gated:
+            return []
+        changed = [~F.col(f"l_{i}").eqNullSafe(F.col(f"r_{i}")) for i in fields]
+        return [F.col("__ask_when"), (reduce(lambda a, b: a | b, changed) if changed else F.lit(False)).alias("__ask_field")]

@@ -36,6 +36,7 @@ class Source:
     name: str
     primary_key: tuple[str, ...]
     types: dict[str, str] = field(default_factory=dict)
+    table: str | None = None
 
 
 @dataclass(frozen=True)
@@ -51,15 +52,26 @@ class Field:
     default_expression: str | None = None
     expression: str | None = None
     link_group: str | None = None
+    hierarchy: dict[str, str] = field(default_factory=dict)
+    from_: str | None = None
+    match: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def element(self) -> str | None:
+        """Type of the elements of a field that holds arrays."""
+        return self.type[:-2] if self.type and self.type.endswith("[]") else None
 
 
 @dataclass(frozen=True)
 class Target:
+    """``composites``: outputs that several fields make up together, as nested names of those fields."""
+
     name: str
     fields: dict[str, Field]
     identity: tuple[tuple[str, ...], ...]
     keep_own: bool = False
     elements: str | None = None
+    composites: dict[str, dict] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -90,6 +102,7 @@ class FieldMap:
     reverse_value_map: dict | None = None
     value_map_fallback: str = "passthrough"
     null_wins: bool = False
+    confirm: bool = False
 
     @property
     def forward(self) -> bool:
@@ -125,6 +138,14 @@ class Mapping:
     links: tuple[dict, ...] = ()
     link_key: str | None = None
     sort: tuple[dict, ...] = ()
+    include_base: bool = False
+    confirm: dict[str, bool] = field(default_factory=dict)
+    confirm_when: Any = None
+
+    @property
+    def gated(self) -> bool:
+        """Do any of the mapping's deltas need confirmation?"""
+        return bool(self.confirm) or self.confirm_when is not None or any(f.confirm for f in self.fields)
 
     @property
     def embedded(self) -> bool:
@@ -147,6 +168,11 @@ class Document:
     mappings: dict[str, Mapping]
     tests: tuple[dict, ...] = ()
     description: str | None = None
+    output: dict[str, str] = field(default_factory=dict)
+
+    def named(self, column: str) -> str:
+        """What the document calls one of the engine's own output columns."""
+        return self.output.get(column, column)
 
     def into(self, target: str) -> list[Mapping]:
         return [m for m in self.mappings.values() if m.target == target]
@@ -169,13 +195,15 @@ KEYS = {
         "map": {"source", "target", "priority", "references"},
     }
 }
+#: The engine's own output columns, which ``output:`` may rename.
+METADATA = ("_canonical_id", "_action", "_mapping", "_src_pk", "_tombstone", "_soft_deleted", "_identity_hash", "_element_action", "_base", "_requires_confirmation")
 KEYS["1"] = {
-    "doc": KEYS["2"]["doc"] | {"name"},
+    "doc": KEYS["2"]["doc"] | {"name", "output"},
     "source": KEYS["2"]["source"] | {"fields", "description", "table"},
     "target": {"fields", "elements", "description"},
-    "field": {"strategy", "type", "references", "group", "default", "default_expression", "expression", "link_group", "description", "element_type"},
-    "mapping": KEYS["2"]["mapping"] | {"priority", "filter", "reverse_filter", "passthrough", "soft_delete", "derive_tombstones", "derive_noop", "derive_timestamps", "written_state", "cluster_members", "cluster_field", "links", "link_key", "sort", "array_path", "include_base", "description"},
-    "map": {f for f in FieldMap.__dataclass_fields__} | {"description", "transform"},
+    "field": {"strategy", "type", "references", "group", "default", "default_expression", "expression", "link_group", "description", "element_type", "hierarchy", "from", "match"},
+    "mapping": KEYS["2"]["mapping"] | {"priority", "filter", "reverse_filter", "passthrough", "soft_delete", "derive_tombstones", "derive_noop", "derive_timestamps", "written_state", "cluster_members", "cluster_field", "links", "link_key", "sort", "array_path", "include_base", "confirm", "confirm_when", "description"},
+    "map": {f for f in FieldMap.__dataclass_fields__} | {"description", "transform", "target_path"},
 }
 STRATEGIES = {"2": {"coalesce", "last_modified"}, "1": {"identity", "coalesce", "last_modified", "expression", "collect", "multi_value", "bool_or", "any_true", "all_true"}}
 
@@ -195,12 +223,12 @@ def build(raw: dict) -> Document:
     if errors:
         raise DocumentError(errors)
     kind = dialect(raw)
-    sources = {n: Source(n, tuple(pk) if isinstance(pk := s["primary_key"], list) else (pk,), {c: x["type"] for c, x in (s.get("fields") or {}).items() if "type" in x}) for n, s in raw["sources"].items()}
-    targets = {n: _target(n, t, kind) for n, t in raw["targets"].items()}
+    sources = {n: Source(n, tuple(pk) if isinstance(pk := s["primary_key"], list) else (pk,), {c: x["type"] for c, x in (s.get("fields") or {}).items() if "type" in x}, s.get("table")) for n, s in raw["sources"].items()}
+    targets = {n: _target(n, t, kind, {f["target_path"] for m in raw["mappings"] if m.get("target") == n for f in m.get("fields") or () if "target_path" in f}) for n, t in raw["targets"].items()}
     mappings: dict[str, Mapping] = {}
     for i, m in enumerate(raw["mappings"]):
         mappings[m["name"]] = _mapping(m, i, mappings)
-    doc = Document(str(raw["version"]), sources, targets, mappings, tuple(raw.get("tests") or ()), raw.get("description"))
+    doc = Document(str(raw["version"]), sources, targets, mappings, tuple(raw.get("tests") or ()), raw.get("description"), raw.get("output") or {})
     errors = semantic_errors(doc)
     if errors:
         raise DocumentError(errors)
@@ -209,7 +237,10 @@ def build(raw: dict) -> Document:
 
 def _field(name: str, raw: dict) -> Field:
     """A target field; ``default:`` is a literal, ``{value: literal}`` or ``{sql: expression}``."""
-    raw = {k: v for k, v in raw.items() if k not in ("description", "element_type")}
+    element = raw.get("element_type")
+    raw = {"from_" if k == "from" else k: v for k, v in raw.items() if k not in ("description", "element_type")}
+    if element is not None:
+        raw["type"] = f"{element}[]"
     default = raw.get("default")
     if isinstance(default, dict) and "value" in default:
         raw["default"] = default["value"]
@@ -218,20 +249,41 @@ def _field(name: str, raw: dict) -> Field:
     return Field(name, **raw)
 
 
-def _target(name: str, raw: dict, kind: str) -> Target:
+def part_name(path: str) -> str:
+    """The field that holds one part of a composite output."""
+    return path.replace(".", "__")
+
+
+def _target(name: str, raw: dict, kind: str, paths: set[str]) -> Target:
+    """A target; each part of an output that ``paths`` make up is a field of its own, resolved as the output says."""
     fields = {f: _field(f, x or {}) for f, x in raw["fields"].items()}
+    composites: dict[str, dict] = {}
+    for path in sorted(paths):
+        root, *steps = path.split(".")
+        if root not in raw["fields"] or not steps:
+            raise DocumentError([(f"/targets/{name}", f"target_path {path!r} needs a field {root!r} and a part of it")])
+        at = composites.setdefault(root, {})
+        for s in steps[:-1]:
+            at = at.setdefault(s, {})
+        if not isinstance(at, dict) or steps[-1] in at:
+            raise DocumentError([(f"/targets/{name}", f"target_path {path!r} is both a value and a part")])
+        at[steps[-1]] = part_name(path)
+        fields.pop(root, None)
+        fields[part_name(path)] = _field(part_name(path), raw["fields"][root] or {})
     if kind == "2":
         return Target(name, fields, tuple((g,) if isinstance(g, str) else tuple(g) for g in raw["identity"]))
     groups: dict[str, list[str]] = {}
     for f in fields.values():
         if f.strategy == "identity":
             groups.setdefault(f.link_group or f"\0{f.name}", []).append(f.name)
-    return Target(name, fields, tuple(tuple(g) for g in groups.values()), keep_own=True, elements=raw.get("elements"))
+    return Target(name, fields, tuple(tuple(g) for g in groups.values()), keep_own=True, elements=raw.get("elements"), composites=composites)
 
 
 def _line(raw: dict) -> FieldMap:
     """One line; ``transform:`` holds a curated form or SQL, ``sources:`` several columns."""
     raw = {k: v for k, v in raw.items() if k != "description"}
+    if "target_path" in raw:
+        raw["target"] = part_name(raw.pop("target_path"))
     transform = raw.pop("transform", None)
     if isinstance(transform, dict) and set(transform) <= {"sql", "sparql"}:
         raw["expression"] = transform["sql"]
@@ -242,7 +294,9 @@ def _line(raw: dict) -> FieldMap:
 
 
 def _mapping(raw: dict, order: int, known: dict[str, Mapping]) -> Mapping:
-    raw = {k: v for k, v in raw.items() if k not in ("description", "include_base")}
+    raw = {k: v for k, v in raw.items() if k != "description"}
+    if isinstance(raw.get("confirm"), bool):
+        raw["confirm"] = dict.fromkeys(("insert", "update", "delete"), True) if raw["confirm"] else {}
     fields = tuple(_line(f) for f in raw.pop("fields", None) or ())
     path = raw.pop("array_path", None) or raw.pop("array", None)
     raw.pop("array", None)

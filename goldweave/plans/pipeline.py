@@ -1,32 +1,44 @@
 """From a document and its sources to golden records and deltas.
 
-Everything is a lazy DataFrame; stages are built on first use and shared.  Only
-a clustering by several keys runs jobs while the plan is built.
+Stages are lazy DataFrames, built on first use and shared.  Two things run jobs
+while a plan is built: a clustering by several keys, and the deltas, which read
+a target's clustered contributions twice (for the golden record and for the
+members) and so write them down once.
 """
 
 from __future__ import annotations
 
 from functools import cache, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldweave.operators import resolve
-from goldweave.operators.delta import Deltas, classified, deltas
+from goldweave.operators.delta import Deltas, Shape, classified, deltas
 from goldweave.operators.forward import Scope
 from goldweave.operators.identity import cluster
+from goldweave.operators.intermediate import materialise
 from goldweave.operators.reverse import Reverse
 from goldweave.plans.model import Document, DocumentError, FieldMap, Mapping
 
+#: Spark types of the elements of array fields; any other is text.
+_ELEMENTS = {"numeric": "decimal(38,18)", "decimal": "decimal(38,18)", "integer": "bigint", "int": "bigint", "bigint": "bigint", "boolean": "boolean", "bool": "boolean"}
+
+
+class NotUnique(RuntimeError):
+    """A result holds a key twice."""
+
 
 class Pipeline:
     """``sources``: frames by source name.  ``state``: frames named ``_written_<mapping>`` and ``_cluster_members_<mapping>``.
 
     A missing source is empty; ``persist=True`` caches what several mappings of
-    a target share.
+    a target share, instead of writing it down.  ``strict`` refuses what is
+    otherwise read leniently: a text that isn't a JSON array where one belongs,
+    and in version 2 a target with several identity groups.
     """
 
-    def __init__(self, doc: Document, sources: dict[str, DataFrame], state: dict[str, DataFrame] | None = None, persist: bool = False):
+    def __init__(self, doc: Document, sources: dict[str, DataFrame], state: dict[str, DataFrame] | None = None, persist: bool = False, strict: bool = False):
         from goldweave.sources.registry import columns_used, from_rows
 
         if not sources:
@@ -41,10 +53,16 @@ class Pipeline:
             else:
                 self._require(name, df.columns)
             full[name] = df
+        if strict and doc.version == "2.0":
+            several = [(f"/targets/{t.name}/identity", "several identity groups") for t in doc.targets.values() if len(t.identity) > 1]
+            if several:
+                raise DocumentError(several)
         self.sources = full
-        self.scope = Scope(doc, full)
+        self.scope = Scope(doc, full, strict)
         self.reverse = Reverse(self)
-        for name in ("forward", "identified", "contributions", "golden", "lookup", "frame", "_linked"):
+        self.sharing = False
+        self._shared = ("identified", "contributions", "golden", "lookup", "frame", "_linked", "_resolved")
+        for name in ("forward", *self._shared):
             setattr(self, name, cache(getattr(self, name)))
         self._open: list[str] = []
 
@@ -141,9 +159,16 @@ class Pipeline:
             parts = [self._link(m, self._with_ghosts(m), refs) for m in self.doc.into(target)]
         finally:
             self._open.pop()
-        rows = reduce(lambda a, b: a.unionByName(b), parts)
+        rows = reduce(_union, parts)
         out = cluster(self.doc, t, rows, refs, self._edges(target))
-        return out.persist() if self.keep else out
+        return out.persist() if self.keep else materialise(out, f"identified_{target}") if self.sharing else out
+
+    def share(self) -> None:
+        """From now on write down what several stages read; what was built lazily before is built anew."""
+        if not self.sharing:
+            self.sharing = True
+            for name in self._shared:
+                getattr(self, name).cache_clear()
 
     def _with_ghosts(self, m: Mapping) -> DataFrame:
         """A mapping's rows, and a tombstone for every recorded member whose row is gone."""
@@ -186,7 +211,7 @@ class Pipeline:
         for m in self.doc.into(target):
             df = self._link(m, rows.where(F.col("__m") == m.name), rest) if rest else rows.where(F.col("__m") == m.name)
             parts.append(self._derived_times(m, df))
-        return reduce(lambda a, b: a.unionByName(b), parts) if rest or any(m.derive_timestamps for m in self.doc.into(target)) else rows
+        return reduce(_union, parts) if rest or any(m.derive_timestamps for m in self.doc.into(target)) else rows
 
     def written(self, m: Mapping) -> DataFrame | None:
         """(__id, __written, __at, __ts) of what was last written for each entity."""
@@ -238,17 +263,16 @@ class Pipeline:
     def golden(self, target: str) -> DataFrame:
         """One row per entity: ``__id`` and the resolved fields."""
         t = self.doc.targets[target]
-        if any(f.strategy == "expression" and resolve._is_query(f.expression) for f in t.fields.values()):
-            out = resolve.enriched(t, {n: self._resolved(n) for n in self.doc.targets})
-        else:
-            out = self._resolved(target)
+        out = resolve.enriched(self.doc, t, self._resolved, self.referred) if any(map(resolve.is_enriched, t.fields.values())) else self._resolved(target)
         return out.persist() if self.keep else out
 
     def members(self, m: Mapping) -> DataFrame:
         """A mapping's real rows with their entities; a row without a key contributes, but can't be written to."""
-        return self._linked(m.target).where((F.col("__m") == m.name) & ~F.col("__ghost") & F.col("__pk").isNotNull())
+        rows = self._linked(m.target).where((F.col("__m") == m.name) & ~F.col("__ghost") & F.col("__pk").isNotNull())
+        return rows.withColumnRenamed(f"__own_{m.name}", "__own")
 
     def frame(self, mapping: str) -> DataFrame:
+        self.share()
         m = self.doc.mappings[mapping]
         return classified(self.reverse.frame(m), self.may_insert(m), self.written(m) if m.derive_noop else None)
 
@@ -260,20 +284,48 @@ class Pipeline:
     def record(self, target: str, hashed: bool = False) -> DataFrame:
         """The golden record as users see it: ``_canonical_id`` and the target's fields.
 
-        ``hashed`` adds ``_identity_hash``: SHA-256 of the first identity group's
-        values, parted by U+001F; it doesn't depend on which rows an entity has.
+        Fields of array types are arrays, and what ``target_path`` lines make up
+        is a struct; every other value is text.  ``hashed`` adds
+        ``_identity_hash``: SHA-256 of the first identity group's values, parted
+        by U+001F; it doesn't depend on which rows an entity has.  U+001E stands
+        before a U+001F or U+001E of a value, and with a 0 for a NULL.
         """
-        g = self.golden(target)
+        t, g, entity = self.doc.targets[target], self.golden(target), self.doc.named("_canonical_id")
+        parts = {p for c in t.composites.values() for p in _leaves(c)}
+        fields = [self._typed(f, F.col(f"v_{f.name}")).alias(f.name) for f in t.fields.values() if f.name not in parts]
+        fields += [self._composite(t, c).alias(name) for name, c in t.composites.items()]
         if hashed:
-            key = F.sha2(F.concat_ws("\x1f", *[F.col(f"v_{f}") for f in self.doc.targets[target].identity[0]]), 256)
-            return self.record(target).join(g.select(F.col("__id").alias("_canonical_id"), key.alias("_identity_hash")), "_canonical_id")
-        return g.select(F.col("__id").alias("_canonical_id"), *[F.col(f"v_{f}").alias(f) for f in self.doc.targets[target].fields])
+            plain = [F.coalesce(F.regexp_replace(f"v_{f}", "([\x1e\x1f])", "\x1e$1"), F.lit("\x1e0")) for f in t.identity[0]]
+            fields.append(F.sha2(F.concat_ws("\x1f", *plain), 256).alias(self.doc.named("_identity_hash")))
+        return g.select(F.col("__id").alias(entity), *fields)
+
+    def _typed(self, f, value: Column) -> Column:
+        if not f.element:
+            return value
+        kind = _ELEMENTS.get(f.element.lower())
+        if f.element.lower() in ("jsonb", "json"):
+            return F.from_json(value, "array<variant>")
+        items = F.from_json(value, "array<string>")
+        return items if kind is None else F.transform(items, lambda x: x.try_cast(kind))
+
+    def _composite(self, t, parts: dict) -> Column:
+        return F.struct(*[(self._composite(t, p) if isinstance(p, dict) else self._typed(t.fields[p], F.col(f"v_{p}"))).alias(n) for n, p in parts.items()])
 
     def deltas(self, mapping: str) -> Deltas:
         m = self.doc.mappings[mapping]
-        rows = self.frame(mapping)
-        key = [] if m.array else list(self.doc.source_of(m).primary_key)
-        return deltas(rows, rows.where("false"), key, self._columns(m), list(m.passthrough), hide_key=bool(m.array))
+        shape = Shape(
+            key=[] if m.array else list(self.doc.source_of(m).primary_key),
+            columns=self._columns(m),
+            passthrough=list(m.passthrough),
+            own=lambda n: self.scope.own_text(m, n),
+            base=self.scope.own_names(m) if m.include_base else None,
+            gates=dict(m.confirm) if m.gated else None,
+            entity=self.doc.named("_canonical_id"),
+            action=self.doc.named("_action"),
+        )
+        d = deltas(self.frame(mapping), shape)
+        renamed = {n: self.doc.named(n) for n in ("_base", "_requires_confirmation") if self.doc.named(n) != n}
+        return Deltas(*[x.withColumnsRenamed(renamed) for x in (d.updates, d.inserts, d.deletes, d.noops)], d.action) if renamed else d
 
     def _columns(self, m: Mapping) -> list[str]:
         if not m.array:
@@ -286,17 +338,21 @@ class Pipeline:
 
     def provenance(self, target: str) -> DataFrame:
         """Which mapping and row each entity is made of."""
-        return self._linked(target).select(F.col("__id").alias("_canonical_id"), F.col("__m").alias("_mapping"), F.col("__pk").alias("_src_pk"), F.col("__ghost").alias("_tombstone"), F.col("__soft").alias("_soft_deleted"))
+        columns = {"__id": "_canonical_id", "__m": "_mapping", "__pk": "_src_pk", "__ghost": "_tombstone", "__soft": "_soft_deleted"}
+        return self._linked(target).select(*[F.col(c).alias(self.doc.named(n)) for c, n in columns.items()])
 
     def contributed(self, target: str) -> DataFrame:
-        """Every value offered for every field, and whether it won."""
+        """Every value offered for every field, and whether it won: one pass over the contributions, joined with their entity."""
         t = self.doc.targets[target]
-        rows = self.contributions(target)
-        long = [rows.select(F.col("__id").alias("_canonical_id"), F.col("__m").alias("_mapping"), F.col("__pk").alias("_src_pk"), F.lit(f).alias("field"), F.col(f"v_{f}").alias("value"), F.col(f"p_{f}").alias("priority"), F.timestamp_micros(f"t_{f}").alias("last_modified")).where("value is not null") for f in t.fields]
-        out = reduce(DataFrame.union, long)
-        g = self.golden(target)
-        wins = reduce(DataFrame.union, [g.select(F.col("__id").alias("_canonical_id"), F.lit(f).alias("field"), F.col(f"v_{f}").alias("won")) for f in t.fields])
-        return out.join(wins, ["_canonical_id", "field"], "left").withColumn("wins", F.col("value").eqNullSafe(F.col("won"))).drop("won")
+        self.share()
+        named = self.doc.named
+        offers = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{f}").alias("value"), F.col(f"p_{f}").alias("priority"), F.timestamp_micros(f"t_{f}").alias("last_modified")) for f in t.fields])
+        won = self.golden(target).select(F.col("__id").alias("__w"), F.map_from_arrays(F.array(*map(F.lit, t.fields)), F.array(*[F.col(f"v_{f}") for f in t.fields])).alias("__won"))
+        rows = self.contributions(target).select("__id", "__m", "__pk", F.filter(offers, lambda x: x["value"].isNotNull()).alias("__offers")).join(won, F.col("__id") == F.col("__w"), "left")
+        out = rows.select("__id", "__m", "__pk", "__won", F.explode("__offers").alias("x"))
+        return out.select(
+            F.col("__id").alias(named("_canonical_id")), F.col("x.field").alias("field"), F.col("__m").alias(named("_mapping")), F.col("__pk").alias(named("_src_pk")), "x.value", "x.priority", "x.last_modified", F.col("x.value").eqNullSafe(F.col("__won")[F.col("x.field")]).alias("wins")
+        )
 
     def element_deltas(self, mapping: str) -> DataFrame:
         """An array mapping's elements against what its parent last wrote: ``_element_action`` insert, present or delete.
@@ -304,23 +360,26 @@ class Pipeline:
         The parent's ``_written`` state holds whole objects; elements are told
         apart by their identity without the fields that link them to the parent.
         """
+        self.share()
         m = self.doc.mappings[mapping]
         parent = self.doc.mappings[m.parent]
+        entity, action_name = self.doc.named("_canonical_id"), self.doc.named("_element_action")
         state = self.written(parent)
         keys = [f for f in self.reverse.lines(m) if f.target in {x for g in self.doc.targets[m.target].identity for x in g}]
         now = self.reverse.elements(m).select("parent", F.explode("items").alias("x"))
         now = now.select("parent", *[F.col("x")[f.source].alias(f.source) for f in keys])
         if state is None:
-            return now.withColumn("_element_action", F.lit("insert")).withColumnRenamed("parent", "_canonical_id")
+            return now.withColumn(action_name, F.lit("insert")).withColumnRenamed("parent", entity)
         before = state.select(F.col("__id").alias("parent"), F.explode(self.reverse.own_elements(m, F.try_element_at("__written", F.lit(m.array[0])))).alias("x"))
         before = before.select("parent", *[F.col("x")[f.source].alias(f.source) for f in keys]).distinct()
         names = ["parent", *[f.source for f in keys]]
         both = now.withColumn("__now", F.lit(True)).join(before.withColumn("__before", F.lit(True)), names, "full")
         action = F.when(F.col("__before").isNull(), "insert").when(F.col("__now").isNull(), "delete").otherwise("present")
-        return both.select(F.col("parent").alias("_canonical_id"), *names[1:], action.alias("_element_action"))
+        return both.select(F.col("parent").alias(entity), *names[1:], action.alias(action_name))
 
     def create_views(self, prefix: str = "") -> list[str]:
         """A temporary view per stage: forward, identified, golden record, reverse and deltas; their names."""
+        self.share()
         views = {f"{m}_forward": self.forward(m) for m in self.doc.mappings}
         for t in self.doc.targets:
             views |= {f"{t}_identified": self.identified(t), t: self.record(t)}
@@ -331,6 +390,43 @@ class Pipeline:
             df.createOrReplaceTempView(prefix + name)
         return [prefix + n for n in views]
 
+    def write(self, folder: str, unique: bool = True) -> list[str]:
+        """Write golden records and deltas as Parquet tables, one folder each; their names.
+
+        ``unique`` first asserts their keys: an entity occurs once in a golden
+        record, and an entity with a row's key once in a mapping's deltas (an
+        entity may have several rows, NULL keys count as equal).
+        """
+        entity = self.doc.named("_canonical_id")
+        out = {t: (self.record(t), [entity]) for t in self.doc.targets}
+        for m in self.visible():
+            d = self.deltas(m)
+            spec = self.doc.mappings[m]
+            # the deltas of elements hold no key of a row
+            key = [entity, *self.doc.source_of(spec).primary_key] if not spec.array else []
+            out |= {f"{m}_{kind}": (getattr(d, kind), key) for kind in ("updates", "inserts", "deletes")}
+        for name, (df, key) in out.items():
+            if unique and key:
+                assert_unique(df, key, name)
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return list(out)
+
     def sync_status(self, mapping: str) -> DataFrame:
         """Entities by what has to happen to them in a mapping."""
-        return self.frame(mapping).select(F.col("__id").alias("_canonical_id"), F.col("__pk").alias("_src_pk"), F.coalesce("_action", F.lit("none")).alias("status"))
+        return self.frame(mapping).select(F.col("__id").alias(self.doc.named("_canonical_id")), F.col("__pk").alias(self.doc.named("_src_pk")), F.coalesce("_action", F.lit("none")).alias("status"))
+
+
+def assert_unique(df: DataFrame, key: list[str], name: str) -> None:
+    """Raise ``NotUnique`` with an example if two rows of ``df`` have the same key; NULLs count as equal."""
+    twice = df.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").first()
+    if twice is not None:
+        raise NotUnique(f"{name}: {', '.join(f'{k}={twice[k]!r}' for k in key)} occurs {twice['__n']} times")
+
+
+def _union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each mapping has a column of its own for its rows' values."""
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def _leaves(parts: dict) -> list[str]:
+    return [x for p in parts.values() for x in (_leaves(p) if isinstance(p, dict) else [p])]

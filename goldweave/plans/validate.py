@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from goldweave.functions.expressions import ExpressionError, check_expression
+from goldweave.functions.expressions import ExpressionError, check_expression, descendants
 
 NAME = re.compile(r"[a-z][a-z0-9_]*\Z")
 
@@ -95,8 +95,19 @@ def semantic_errors(doc) -> list[tuple[str, str]]:
                 out.append((f"{path}/fields/{f.name}", "strategy expression needs an expression"))
             out += _unsafe(f.expression, f"{path}/fields/{f.name}/expression", query=True)
             out += _unsafe(f.default_expression, f"{path}/fields/{f.name}/default_expression")
+            if f.from_ is not None or f.match:
+                remote = doc.targets.get(f.from_ or "")
+                if remote is None or f.strategy != "expression" or not f.match:
+                    out.append((f"{path}/fields/{f.name}/from", "needs a target, strategy expression and match"))
+                else:
+                    out += [(f"{path}/fields/{f.name}/match", f"unknown field {x!r}") for x in [*(a for a in f.match if a not in remote.fields), *(b for b in f.match.values() if b not in t.fields)]]
+            try:
+                descendants(f.hierarchy)
+            except ExpressionError as e:
+                out.append((f"{path}/fields/{f.name}/hierarchy", str(e)))
         if not doc.into(t.name):
             out.append((path, "no mapping feeds this target"))
+    out += _output_names(doc)
     names = [m.name for m in doc.mappings.values()]
     out += [("/mappings", f"{n!r} is declared twice") for n in {n for n in names if names.count(n) > 1}]
     for m in doc.mappings.values():
@@ -135,7 +146,9 @@ def semantic_errors(doc) -> list[tuple[str, str]]:
             for name in ("expression", "reverse_expression", "normalize"):
                 if isinstance(getattr(f, name), str):
                     out += _unsafe(getattr(f, name).replace("%s", "x"), f"{at}/{name}")
-        for name in ("filter", "reverse_filter"):
+        if set(m.confirm) - {"insert", "update", "delete"}:
+            out.append((f"{path}/confirm", "names actions: insert, update, delete"))
+        for name in ("filter", "reverse_filter", "confirm_when"):
             if isinstance(getattr(m, name), str):
                 out += _unsafe(getattr(m, name), f"{path}/{name}")
         for j, x in enumerate(m.links):
@@ -158,6 +171,21 @@ def semantic_errors(doc) -> list[tuple[str, str]]:
     return out
 
 
+def _output_names(doc) -> list[tuple[str, str]]:
+    """Renamed output columns: known, distinct, and unlike any column that a result holds beside them."""
+    from goldweave.plans.model import METADATA
+
+    out = [(f"/output/{n}", "not an output column of the engine") for n in doc.output if n not in METADATA]
+    called = [doc.named(n) for n in METADATA]
+    out += [("/output", f"{n!r} is used twice") for n in sorted({n for n in called if called.count(n) > 1})]
+    for m in doc.mappings.values():
+        own = {f.source for f in m.fields if f.source} | set(m.passthrough) | (set(doc.sources[m.source].primary_key) if m.source in doc.sources else set())
+        out += [(f"/mappings/{m.name}", f"column {n!r} is called as an output column of the engine; rename that under output:") for n in sorted(own & {doc.named(x) for x in ("_canonical_id", "_action", "_base", "_requires_confirmation")})]
+    for t in doc.targets.values():
+        out += [(f"/targets/{t.name}/fields/{n}", "is called as an output column of the engine") for n in t.fields if n in called]
+    return out
+
+
 def _unsafe(text: str | None, path: str, query: bool = False) -> list[tuple[str, str]]:
     if not text:
         return []

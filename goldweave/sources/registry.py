@@ -31,10 +31,13 @@ def from_rows(spark: SparkSession, rows: list[dict[str, Any]], columns: list[str
 
 
 def read(spark: SparkSession, doc: Document, places: dict[str, str], fmt: str = "parquet", **options: Any) -> dict[str, DataFrame]:
-    """The document's sources from files (any format that Spark reads) or, for ``table``, from the catalog."""
+    """The document's sources from files (any format that Spark reads) or, for ``table``, from the catalog.
+
+    A source that no place is given for lies where its ``table`` says, else under its name.
+    """
     out = {}
-    for name in doc.sources:
-        place = places.get(name, name)
+    for name, source in doc.sources.items():
+        place = places.get(name, source.table or name)
         out[name] = spark.table(place) if fmt == "table" else spark.read.format(fmt).options(**options).load(place)
     return out
 
@@ -63,14 +66,18 @@ def _levels(doc: Document, m) -> list:
     return out
 
 
-def as_text(df: DataFrame, name: str) -> Column:
-    """A column as text: nested values as JSON, everything else cast."""
-    kind = df.schema[name].dataType
+def text_of(value: Column, kind: T.DataType) -> Column:
+    """A value as text: nested ones as JSON, everything else cast."""
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(F.col(f"`{name}`"), {"ignoreNullFields": "false"})
+        return F.to_json(value, {"ignoreNullFields": "false"})
     if isinstance(kind, T.VariantType):
-        return F.to_json(F.col(f"`{name}`"))
-    return F.col(f"`{name}`").cast("string")
+        return F.to_json(value)
+    return value.cast("string")
+
+
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column as text."""
+    return text_of(F.col(f"`{name}`"), df.schema[name].dataType)
 
 
 def row_key(pk: str) -> str:
