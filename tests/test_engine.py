@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from goldweave import cli
 from goldweave.functions import expressions as X
-from goldweave.functions.jsonpath import parse_path, put, read_path, write_paths
+from goldweave.functions.jsonpath import parse_path, read_path, write_paths
 from goldweave.operators.components import components
 from goldweave.plans.golden import pipeline_of
 from goldweave.plans.model import DocumentError, merge, parse
@@ -120,14 +120,44 @@ mappings:
 
 def test_json_paths(spark):
     assert parse_path("m.['a.b'].c[0].d") == ["m", "a.b", "c", 0, "d"]
-    assert put({"a": [{"x": 1}]}, ["a", 0, "y"], "2") == {"a": [{"x": 1, "y": "2"}]} and put(None, ["a", 1], "z") == {"a": [None, "z"]}
     doc = json.dumps({"a.b": {"c": [{"d": "1", "e": 2}]}, "k": True})
     df = spark.createDataFrame([(doc, "9"), (None, "9"), (doc, None), (None, None)], "j string, v string")
-    got = [r for r in df.select(read_path(F.col("j"), ["a.b", "c", 0, "d"]).alias("r"), write_paths(F.col("j"), [["a.b", "c", 0, "d"]], [F.col("v")]).alias("w")).collect()]
+    got = [r for r in write_paths(df, F.col("j"), [(["a.b", "c", 0, "d"], F.col("v"), None)], "w").select(read_path(F.col("j"), ["a.b", "c", 0, "d"]).alias("r"), "w").collect()]
     assert [r["r"] for r in got] == ["1", None, "1", None]
     assert json.loads(got[0]["w"]) == {"a.b": {"c": [{"d": "9", "e": 2}]}, "k": True} and json.loads(got[1]["w"]) == {"a.b": {"c": [{"d": "9"}]}} and json.loads(got[2]["w"])["a.b"]["c"][0]["d"] is None and got[3]["w"] is None
 
 
+def test_written_values_keep_their_json_types(spark):
+    doc = json.dumps({"n": 5, "f": True, "s": "5", "x": 1.50, "o": {"deep": [1, {"k": False}]}})
+    rows = [(doc, "5", "true"), (doc, "6", "no"), (doc, None, None), ("[1]", "7", "false"), (None, "7", None)]
+    df = spark.createDataFrame(rows, "j string, v string, b string")
+    v, b = F.col("v"), F.col("b")
+    leaves = [(["n"], v, None), (["s"], v, None), (["new"], v, "numeric"), (["f"], b, None), (["o", "deep", 1, "k"], b, None), (["o", "deep", 2], v, None)]
+    got = [None if r["w"] is None else json.loads(r["w"]) for r in write_paths(df, F.col("j"), leaves, "w").collect()]
+    assert got[0] == {"n": 5, "f": True, "s": "5", "x": 1.5, "new": 5, "o": {"deep": [1, {"k": True}, "5"]}}
+    assert got[1] == {"n": 6, "f": "no", "s": "6", "x": 1.5, "new": 6, "o": {"deep": [1, {"k": "no"}, "6"]}}
+    assert got[2] == {"n": None, "f": None, "s": None, "x": 1.5, "o": {"deep": [1, {"k": None}]}}
+    assert got[3] == {"n": "7", "s": "7", "new": 7, "f": "false", "o": {"deep": [None, {"k": "false"}, "7"]}}
+    assert got[4] == {"n": "7", "s": "7", "new": 7, "o": {"deep": [None, None, "7"]}}
+
+
+def test_linked_order():
+    from goldweave.operators.ordered import walk
+
+    names = lambda xs: [xs[i][0] for i in walk(xs)]
+    assert names([("c", "b", None), ("a", None, "b"), ("b", "a", "c")]) == ["a", "b", "c"]
+    # d and c both follow b: d names c as its follower, so it goes first
+    assert names([("a", None, "b"), ("b", "a", "c"), ("c", "b", None), ("d", "b", "c")]) == ["a", "b", "d", "c"]
+    # two claim the head; b names y, so y goes before x; what follows each stays with it
+    assert names([("b", None, "y"), ("x", "b", None), ("x2", "x", None), ("y", "b", None), ("a", "gone", None)]) == ["a", "b", "y", "x", "x2"]
+    assert names([("p", "q", "q"), ("q", "p", "p"), ("a", None, None)]) == ["a", "p", "q"]
+    assert names([("s", "s", "s")]) == ["s"] and names([]) == []
+    rng = random.Random(4)
+    for _ in range(200):
+        xs = [(rng.choice("abcdef"), rng.choice([None, *"abcdef"]), rng.choice([None, *"abcdef"])) for _ in range(rng.randint(0, 9))]
+        assert sorted(walk(xs)) == list(range(len(xs)))
+
+
 def test_key_codec_is_exact(spark):
     keys = ["a b", "x/y?z", "50%", "~-._", "ünï", "a+b*c", "", "'\"<>"]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
@@ -221,14 +251,43 @@ def test_streamed_refresh(spark, tmp_path):
 
     put_rows([("a", 1, None, "1", "p", "x", None, None), ("b", 1, None, "9", None, None, "p", "y")])
     stream = spark.readStream.schema(schema).parquet(inbox)
-    query = refresh(stream, doc, Snapshots(spark, doc, str(tmp_path / "snap")), sink, str(tmp_path / "cp"))
-    query.processAllAvailable()
+    def run():  # each time as a new process would: nothing but the folders is carried over
+        query = refresh(stream, doc, Snapshots(spark, doc, str(tmp_path / "snap"), buckets=4), sink, str(tmp_path / "cp"))
+        query.processAllAvailable()
+        return query
+
+    query = run()
     put_rows([("a", 2, None, "2", "q", "z", None, None), ("b", 2, None, "9", None, None, "p", "x")])
     query.processAllAvailable()
-    put_rows([("a", 3, True, "2", None, None, None, None)])
-    query.processAllAvailable()
     query.stop()
+    put_rows([("a", 3, True, "2", None, None, None, None)])
+    run().stop()
     assert seen[0]["b"] == [("update", "9")] and seen[1]["b"] == [("insert", None)] and seen[2]["b"] == [] and seen[0]["fed"] == 1
+    # what the first process read is still there, and the last batch's manifest alone says so
+    held = Snapshots(spark, doc, str(tmp_path / "snap"))
+    assert [(r["id"], r["v"]) for r in held.read(held.before()["a"]).collect()] == [("1", "x")]
+    # a batch that is run again starts from the one before it
+    assert sorted(r["id"] for r in held.read(held.before(2)["a"]).collect()) == ["1", "2"]
+
+
+def test_state_of_one_batch_reaches_the_next(spark, tmp_path):
+    from goldweave.streaming.refresh import Snapshots, feed_back, refresh
+
+    doc = parse(BASIC.replace('"2.0"', '"1.0"').replace("{ t: { identity: [k], fields: { k: { strategy: coalesce }", "{ t: { fields: { k: { strategy: identity }").replace("name: b, source: b, target: t,", "name: b, source: b, target: t, written_state: true, derive_noop: true,"))
+    schema = "_source string, _order long, id string, k string, v string, key string, val string"
+    inbox, seen = str(tmp_path / "in"), []
+
+    def sink(pipe, number):
+        seen.append((sorted(pipe.state), sorted((r["_action"], r["id"]) for r in pipe.deltas("b").changes().collect())))
+        return {"_written_b": feed_back(pipe, "b", ["val"], "2024-01-01")[1]}
+
+    for k, rows in enumerate([[("a", 1, "1", "p", "x", None, None), ("b", 1, "9", None, None, "p", "y")], [("a", 2, "2", "q", "z", None, None)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        query = refresh(spark.readStream.schema(schema).parquet(inbox), doc, Snapshots(spark, doc, str(tmp_path / "snap")), sink, str(tmp_path / "cp"))
+        query.processAllAvailable()
+        query.stop()
+    # the first batch wrote x for p; the source still shows y, which the second batch therefore knows to be on its way
+    assert seen == [([], [("update", "9")]), (["_written_b"], [("insert", None), ("update", "9")])] or seen == [([], [("update", "9")]), (["_written_b"], [("insert", None)])]
 
 
 def test_element_deltas_and_views(spark):
