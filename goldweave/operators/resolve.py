@@ -25,17 +25,22 @@ def order(strategy: str, name: str) -> Column:
 def without_echoes(doc: Document, target: Target, rows: DataFrame) -> DataFrame:
     """``x_f``: is a value only the echo of another under f's ``normalize``?
 
-    A value from a mapping that normalises loses to an equal normal form from
-    one that doesn't, however new it is.
+    A value from a mapping that normalises loses to a value from one that
+    doesn't, however new it is, if both have the same form under its own
+    ``normalize``.
     """
     for name in target.fields:
-        specs = [f.normalize for m in doc.into(target.name) for f in [m.field_of(name)] if f is not None and f.normalize is not None]
-        if not specs:
-            continue
-        rows = rows.withColumn(f"n_{name}", X.normalized(f"v_{name}", specs[0]))
-        plain = rows.where(~F.col(f"h_{name}") & F.col(f"n_{name}").isNotNull()).select(F.col("__id").alias("__i"), F.col(f"n_{name}").alias("__n")).distinct().withColumn("__plain", F.lit(True))
-        rows = rows.join(plain, (F.col("__id") == F.col("__i")) & (F.col(f"n_{name}") == F.col("__n")), "left")
-        rows = rows.withColumn(f"x_{name}", F.col(f"h_{name}") & F.col("__plain").isNotNull()).drop(f"n_{name}", "__i", "__n", "__plain")
+        specs: dict[str, tuple[object, list[str]]] = {}
+        for m in doc.into(target.name):
+            f = m.field_of(name)
+            if f is not None and f.normalize is not None:
+                specs.setdefault(repr(f.normalize), (f.normalize, []))[1].append(m.name)
+        for k, (spec, mappings) in enumerate(specs.values()):
+            rows = rows.withColumn(f"n_{name}", X.normalized(f"v_{name}", spec))
+            plain = rows.where(~F.col(f"h_{name}") & F.col(f"n_{name}").isNotNull()).select(F.col("__id").alias("__i"), F.col(f"n_{name}").alias("__n")).distinct().withColumn("__plain", F.lit(True))
+            rows = rows.join(plain, (F.col("__id") == F.col("__i")) & (F.col(f"n_{name}") == F.col("__n")), "left")
+            echo = F.col("__m").isin(mappings) & F.col("__plain").isNotNull()
+            rows = rows.withColumn(f"x_{name}", F.col(f"x_{name}") | echo if k else echo).drop(f"n_{name}", "__i", "__n", "__plain")
     return rows
 
 

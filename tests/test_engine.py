@@ -279,7 +279,7 @@ def test_state_of_one_batch_reaches_the_next(spark, tmp_path):
 
     def sink(pipe, number):
         seen.append((sorted(pipe.state), sorted((r["_action"], r["id"]) for r in pipe.deltas("b").changes().collect())))
-        return {"_written_b": feed_back(pipe, "b", ["val"], "2024-01-01")[1]}
+        return {"_written_b": feed_back(pipe, "b", [], "2024-01-01")[1]}
 
     for k, rows in enumerate([[("a", 1, "1", "p", "x", None, None), ("b", 1, "9", None, None, "p", "y")], [("a", 2, "2", "q", "z", None, None)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
@@ -287,7 +287,7 @@ def test_state_of_one_batch_reaches_the_next(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     # the first batch wrote x for p; the source still shows y, which the second batch therefore knows to be on its way
-    assert seen == [([], [("update", "9")]), (["_written_b"], [("insert", None), ("update", "9")])] or seen == [([], [("update", "9")]), (["_written_b"], [("insert", None)])]
+    assert seen == [([], [("update", "9")]), (["_written_b"], [("insert", None)])]
 
 
 def test_element_deltas_and_views(spark):
