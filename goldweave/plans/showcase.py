@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from goldweave.operators.intermediate import materialise
 from goldweave.plans.model import parse
 from goldweave.plans.pipeline import Pipeline
 
@@ -134,12 +135,18 @@ def pipeline(spark: SparkSession, sf_dir: str, text: str, state: dict[str, str]
     return Pipeline(doc, {n: system(spark, sf_dir, SYSTEMS[n]) for n in doc.sources}, {n: system(spark, sf_dir, q) for n, q in (state or {}).items()})
 
 
+#: The flat system lacks every fifth line of an order, and of a third of the rest it has another quantity.
+FLAT = "line_key % 5 <> 4"
+FLAT_QTY = "CASE WHEN (CAST(order_id AS BIGINT) + line_key) % 3 = 1 THEN qty + 1 ELSE qty END"
+
+
 def nested(spark: SparkSession, sf_dir: str, elements: str = "") -> Pipeline:
-    rows = system(spark, sf_dir, NUMBERED)
+    """A shop whose orders hold their lines, and a warehouse with a row for each line; written down as the tables that real systems are."""
+    rows = materialise(system(spark, sf_dir, NUMBERED), "numbered_lines")
     lists = rows.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("line_key", "part", "qty"))).alias("lines"))
     orders = system(spark, sf_dir, "SELECT CAST(o_orderkey AS STRING) AS order_id, CAST(o_custkey AS STRING) AS buyer FROM {orders}")
-    flat = rows.where("line_key <= 2").select(F.concat_ws("-", "order_id", "line_key").alias("line_id"), F.col("order_id").alias("order_number"), "line_key", "part", F.expr("CASE WHEN line_key = 1 THEN qty + 1 ELSE qty END").alias("qty"))
-    return Pipeline(parse(NESTED % elements), {"shop": orders.join(lists, "order_id", "left"), "wms": flat})
+    flat = rows.where(FLAT).select(F.concat_ws("-", "order_id", "line_key").alias("line_id"), F.col("order_id").alias("order_number"), "line_key", "part", F.expr(FLAT_QTY).alias("qty"))
+    return Pipeline(parse(NESTED % elements), {"shop": materialise(orders.join(lists, "order_id", "left"), "shop"), "wms": flat})
 
 
 def _state(spark: SparkSession, sf_dir: str) -> Pipeline:
@@ -198,7 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contact_inserts_crm": _contact("inserts", "crm"),
     "contact_inserts_erp": _contact("inserts", "erp"),
     "contact_changes": lambda s, d: pipeline(s, d, CONTACT).deltas("erp").changes().groupBy(F.col("_action").alias("action")).agg(F.count("*").alias("n"), F.count("id").alias("with_id")),
-    "contact_contributions": lambda s, d: _id(pipeline(s, d, CONTACT).contributed("contact")).select("canonical_id", "field", F.col("_mapping").alias("mapping"), "value", "wins").where("field = 'name'"),
+    "contact_contributions": lambda s, d: _id(pipeline(s, d, CONTACT).contributed("contact")).select("canonical_id", "field", F.col("_mapping").alias("mapping"), "value", "wins"),
     "contact_sync_status": lambda s, d: pipeline(s, d, CONTACT).sync_status("erp").groupBy("status").agg(F.count("*").alias("n")),
     "gated_deletes": lambda s, d: _id(pipeline(s, d, GATED).deltas("erp").deletes).select("canonical_id", "id"),
     "gated_updates": lambda s, d: _id(pipeline(s, d, GATED).deltas("erp").updates).select("canonical_id", "id", "contact_name", "seg", "region"),
@@ -249,7 +256,7 @@ _CLOSE = (
   k AS (SELECT r.*, coalesce(r.phone, m.phone, r.email) AS grp FROM r LEFT JOIN m ON r.email = m.email),
   c AS (SELECT *, min(mapping || ':' || src_pk) OVER (PARTITION BY grp) AS canonical_id FROM k)"""
 )
-_NEST = f"""WITH b AS ({NUMBERED.replace("{", "").replace("}", "")}), w AS (SELECT order_id, line_key, part, CASE WHEN line_key = 1 THEN qty + 1 ELSE qty END AS qty FROM b WHERE line_key <= 2)"""
+_NEST = f"""WITH b AS ({NUMBERED.replace("{", "").replace("}", "")}), w AS (SELECT order_id, line_key, part, {FLAT_QTY} AS qty FROM b WHERE {FLAT})"""
 _TIMES = (
     _with("crm", "erp")
     + """, e0 AS (SELECT * FROM erp WHERE CAST(substr(id, 2) AS BIGINT) % 20 <> 1),
@@ -269,7 +276,10 @@ ORACLE: dict[str, str] = {
     "contact_inserts_crm": _BOTH + " SELECT canonical_id, CAST(NULL AS STRING) AS id, email, name, segment FROM g WHERE cid IS NULL",
     "contact_inserts_erp": _BOTH + " SELECT canonical_id, CAST(NULL AS STRING) AS id, email AS contact_email, name AS contact_name, segment AS seg FROM g WHERE eid IS NULL",
     "contact_changes": _BOTH + ", a AS (SELECT CASE WHEN eid IS NULL THEN 'insert' WHEN name IS DISTINCT FROM ename OR segment IS DISTINCT FROM eseg THEN 'update' END AS action, eid FROM g) SELECT action, count(*) AS n, count(eid) AS with_id FROM a WHERE action IS NOT NULL GROUP BY action",
-    "contact_contributions": _BOTH + " SELECT canonical_id, 'name' AS field, 'crm' AS mapping, cname AS value, cname = name AS wins FROM g WHERE cname IS NOT NULL UNION ALL SELECT canonical_id, 'name', 'erp', ename, ename = name FROM g WHERE ename IS NOT NULL",
+    "contact_contributions": _BOTH
+    + """ SELECT canonical_id, 'name' AS field, 'crm' AS mapping, cname AS value, cname = name AS wins FROM g WHERE cname IS NOT NULL UNION ALL SELECT canonical_id, 'name', 'erp', ename, ename = name FROM g WHERE ename IS NOT NULL
+      UNION ALL SELECT canonical_id, 'segment', 'crm', cseg, cseg = segment FROM g WHERE cseg IS NOT NULL UNION ALL SELECT canonical_id, 'segment', 'erp', eseg, eseg = segment FROM g WHERE eseg IS NOT NULL
+      UNION ALL SELECT canonical_id, 'email', 'crm', email, TRUE FROM g WHERE cid IS NOT NULL UNION ALL SELECT canonical_id, 'email', 'erp', email, TRUE FROM g WHERE eid IS NOT NULL""",
     "contact_sync_status": _BOTH + " SELECT CASE WHEN eid IS NULL THEN 'insert' WHEN name IS DISTINCT FROM ename OR segment IS DISTINCT FROM eseg THEN 'update' ELSE 'noop' END AS status, count(*) AS n FROM g GROUP BY 1",
     "gated_deletes": _GATED + " SELECT canonical_id, eid AS id FROM g WHERE eid IS NOT NULL AND segment IS NULL",
     "gated_updates": _GATED + " SELECT canonical_id, eid AS id, name AS contact_name, segment AS seg, region FROM g WHERE eid IS NOT NULL AND segment IS NOT NULL AND (upper(name) IS DISTINCT FROM upper(ename) OR segment IS DISTINCT FROM eseg)",
@@ -293,8 +303,10 @@ ORACLE: dict[str, str] = {
     "array_updates": _NEST
     + """, x AS (SELECT b.order_id, b.line_key, b.part, coalesce(w.qty, b.qty) AS qty, w.qty IS NOT NULL AND w.qty <> b.qty AS changed FROM b LEFT JOIN w ON b.order_id = w.order_id AND b.line_key = w.line_key)
       SELECT x.order_id, CAST(o_custkey AS STRING) AS buyer, string_agg(line_key || ':' || part || ':' || qty, '|' ORDER BY line_key) AS lines_text FROM x JOIN orders ON x.order_id = CAST(o_orderkey AS STRING) GROUP BY x.order_id, o_custkey HAVING bool_or(changed)""",
-    "element_authority": _NEST + " SELECT w.order_id, CAST(o_custkey AS STRING) AS buyer, string_agg(line_key || ':' || part || ':' || qty, '|' ORDER BY line_key) AS lines_text FROM w JOIN orders ON w.order_id = CAST(o_orderkey AS STRING) GROUP BY w.order_id, o_custkey",
+    "element_authority": _NEST
+    + """, n AS (SELECT order_id, string_agg(line_key || ':' || part || ':' || qty, '|' ORDER BY line_key) AS lines_text FROM w GROUP BY order_id), o AS (SELECT order_id, string_agg(line_key || ':' || part || ':' || qty, '|' ORDER BY line_key) AS own FROM b GROUP BY order_id)
+      SELECT n.order_id, CAST(o_custkey AS STRING) AS buyer, lines_text FROM n JOIN o ON n.order_id = o.order_id JOIN orders ON n.order_id = CAST(o_orderkey AS STRING) WHERE lines_text <> own""",
     "element_positions": _NEST
-    + """ SELECT CASE WHEN line_key <= 2 THEN least('shop_lines:' || order_id || ':' || CAST(line_key - 1 AS STRING), 'wms:' || order_id || '-' || CAST(line_key AS STRING)) ELSE 'shop_lines:' || order_id || ':' || CAST(line_key - 1 AS STRING) END AS canonical_id, CAST(line_key AS STRING) AS line_key, lpad(CAST(line_key - 1 AS STRING), 10, '0') AS pos,
+    + f""" SELECT CASE WHEN {FLAT} THEN least('shop_lines:' || order_id || ':' || CAST(line_key - 1 AS STRING), 'wms:' || order_id || '-' || CAST(line_key AS STRING)) ELSE 'shop_lines:' || order_id || ':' || CAST(line_key - 1 AS STRING) END AS canonical_id, CAST(line_key AS STRING) AS line_key, lpad(CAST(line_key - 1 AS STRING), 10, '0') AS pos,
       CAST(lag(line_key) OVER (PARTITION BY order_id ORDER BY line_key) AS STRING) AS before, CAST(lead(line_key) OVER (PARTITION BY order_id ORDER BY line_key) AS STRING) AS after FROM b""",
 }
