@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from goldweave.plans import gallery, showcase
+from goldweave.plans import gallery, showcase, workbench
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = showcase.QUERIES | gallery.QUERIES, showcase.ORACLE | gallery.ORACLE
+QUERIES, ORACLE = showcase.QUERIES | gallery.QUERIES | workbench.QUERIES, showcase.ORACLE | gallery.ORACLE | workbench.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLE.keys() and len(QUERIES) == len(showcase.QUERIES) + len(gallery.QUERIES)
+    assert QUERIES.keys() == ORACLE.keys() and len(QUERIES) == len(showcase.QUERIES) + len(gallery.QUERIES) + len(workbench.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
