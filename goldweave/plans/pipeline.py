@@ -19,7 +19,7 @@ from goldweave.operators.forward import Scope
 from goldweave.operators.identity import cluster
 from goldweave.operators.intermediate import materialise
 from goldweave.operators.reverse import Reverse
-from goldweave.plans.model import Document, DocumentError, FieldMap, Mapping
+from goldweave.plans.model import Document, DocumentError, FieldMap, Mapping, Target
 
 #: Spark types of the elements of array fields; any other is text.
 _ELEMENTS = {"numeric": "decimal(38,18)", "decimal": "decimal(38,18)", "integer": "bigint", "int": "bigint", "bigint": "bigint", "boolean": "boolean", "bool": "boolean"}
@@ -159,9 +159,25 @@ class Pipeline:
             parts = [self._link(m, self._with_ghosts(m), refs) for m in self.doc.into(target)]
         finally:
             self._open.pop()
-        rows = reduce(_union, parts)
+        # what depends on the mapping alone isn't exchanged or written with every row
+        fixed = self._fixed(t)
+        rows = reduce(_union, parts).drop(*fixed)
         out = cluster(self.doc, t, rows, refs, self._edges(target))
-        return out.persist() if self.keep else materialise(out, f"identified_{target}") if self.sharing else out
+        out = out.persist() if self.keep else materialise(out, f"identified_{target}") if self.sharing else out
+        return out.withColumns(fixed)
+
+    def _fixed(self, t: Target) -> dict[str, Column]:
+        """The columns of contributions that a row's mapping fixes: priorities, flags for ``normalize``, and timestamps that no mapping has."""
+        out: dict[str, Column] = {}
+        own = lambda m: (F.col("__m") == m.name) & ~F.col("__ghost")
+        for name in t.fields:
+            lines = [(m, f) for m in self.doc.into(t.name) for f in [m.field_of(name)] if f is not None]
+            ranked = [F.when(own(m), F.lit(f.priority if f.priority is not None else m.priority).cast("int")) for m, f in lines]
+            out[f"p_{name}"] = F.coalesce(*ranked, F.lit(None).cast("int"))
+            out[f"h_{name}"] = reduce(lambda a, b: a | b, [own(m) for m, f in lines if f.normalize is not None], F.lit(False))
+            if all(f.last_modified is None and m.last_modified is None for m, f in lines):
+                out[f"t_{name}"] = F.lit(None).cast("bigint")
+        return out
 
     def share(self) -> None:
         """From now on write down what several stages read; what was built lazily before is built anew."""
