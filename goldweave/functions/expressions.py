@@ -377,7 +377,8 @@ def canonical(c: Column, kind: str | None) -> Column:
     text = c.cast("string")
     if kind in ("numeric", "integer", "decimal", "int", "bigint"):
         number = text.try_cast("decimal(38,18)")
-        return F.when(number.isNotNull(), numeric_text(number)).otherwise(text)
+        # most numbers are integers, which are written as they are
+        return F.when(text.rlike("^(?:0|-?[1-9][0-9]{0,17})$"), text).when(number.isNotNull(), numeric_text(number)).otherwise(text)
     if kind in ("boolean", "bool"):
         flag = text.try_cast("boolean")
         return F.coalesce(flag.cast("string"), text)

@@ -122,12 +122,8 @@ mappings:
 """
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-
-
 def system(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, **{t: df for t, df in tables(spark, sf_dir).items() if "{" + t + "}" in sql})
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql})
 
 
 def pipeline(spark: SparkSession, sf_dir: str, text: str, state: dict[str, str] | None = None) -> Pipeline:
