@@ -31,19 +31,24 @@ PATTERNS = {
 #: Cheap tests that every text with a match passes.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"\.[0-9]++\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: A token that may be an identifier: at least three digits among letters, digits and joints.
-CANDIDATE = r"(?<![A-Za-z0-9._:/@+-])(?=[A-Za-z._:/@+-]*+[0-9][A-Za-z._:/@+-]*+[0-9][A-Za-z._:/@+-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9._:/@-]{4,}+"
+_EDGE = r"(?<![A-Za-z0-9._:/@+-])(?=[A-Za-z._:/@+-]*+[0-9][A-Za-z._:/@+-]*+[0-9][A-Za-z._:/@+-]*+[0-9])"
+_TOKEN = r"[A-Za-z0-9+][A-Za-z0-9._:/@-]{4,}+"
+CANDIDATE = _EDGE + _TOKEN
 _JOINT = r"[\x20().-]"
 _LEAD = r"(?:\+?\((?=\+?[0-9]{1,5}\))\+?|\+)?+"
 _GROUPS = rf"(?={_LEAD}(?:[0-9]{_JOINT}{{0,3}}+){{7}})(?!{_LEAD}(?:[0-9]{_JOINT}{{0,3}}+){{20}}){_LEAD}[0-9]++(?:{_JOINT}{{1,3}}+[0-9]{{2,}}+)++(?![A-Za-z0-9@])"
 #: Groups of 7 to 19 digits joined by blanks, brackets, points and hyphens, from the first bracket, sign or digit on.
-GROUPS = rf"(?<![A-Za-z0-9._@+/-])(?<![0-9]{_JOINT}{{1,3}}){_GROUPS}"
+GROUPS = rf"(?=[0-9(+])(?<![A-Za-z0-9._@+/-])(?<![0-9]{_JOINT}{{1,3}}){_GROUPS}"
 _AT, _DOT = r"\x20?[\[({<]\x20?(?i:at)\x20?[\])}>]\x20?", r"\x20?[\[({<]\x20?(?i:dot)\x20?[\])}>]\x20?|\x20(?i:dot)\x20"
 _LABEL, _HOST = r"[A-Za-z][A-Za-z0-9-]*+", r"(?=[0-9-]*+[A-Za-z])[A-Za-z0-9-]++"
 #: Spelled-out addresses: 'bob at corp dot com', 'bob [at] corp.com', 'bob @ corp . com', 'bob@corp'.
 SPELLED = rf"(?<!{_LOCAL}){_LOCAL}++(?:(?:{_DOT}){_LOCAL}++){{0,4}}+(?:(?:{_AT}|\x20?@\x20?){_HOST}(?:(?:{_DOT}|\x20?\.\x20?(?=[A-Za-z]{{2,6}}(?![A-Za-z])))[A-Za-z0-9-]++)*+|\x20(?i:at)\x20{_HOST}(?:(?:{_DOT}|\.){_LABEL})++)"
-#: All of them in one search; a token that begins with a label leaves the groups behind it whole.
-LOOSE = rf"{SPELLED}|{GROUPS}|(?![A-Za-z._-]{{1,30}}+:{_GROUPS}){CANDIDATE}"
-LOOSE_HINT = r"[0-9]|@|[\x20\[({<](?i:at)[\x20\])}>]"
+#: A cheap test that every text with a spelled-out address passes.
+SPELLED_HINT = r"@|[\[({<]\x20?(?i:at)\x20?[\])}>]|\x20(?i:at)\x20[A-Za-z0-9-]++(?:\.[A-Za-z]|\x20?[\[({<]\x20?(?i:dot)|\x20(?i:dot)\x20)"
+#: The others; a token that begins with a label leaves the groups behind it whole.
+NUMBERS = rf"{GROUPS}|{_EDGE}(?![A-Za-z._-]{{1,30}}+:{_GROUPS}){_TOKEN}"
+#: All of them in one search.
+LOOSE = rf"{SPELLED}|{NUMBERS}"
 _SPAN = "array<struct<start:int,stop:int,surface:string>>"
 
 
@@ -87,6 +92,11 @@ def located(text: Column, pattern: str, hint: str | None = None) -> Column:
     return spans if hint is None else F.when(text.rlike(hint), spans).otherwise(F.array().cast(_SPAN))
 
 
+def loose_spans(text: Column) -> Column:
+    """All matches of ``LOOSE``; most texts are spared the search for spelled-out addresses, or any."""
+    return F.when(text.rlike(SPELLED_HINT), located(text, LOOSE)).otherwise(located(text, NUMBERS, "[0-9]"))
+
+
 def _of_kind(text: Column, kind: str) -> Column:
     good = F.filter(located(text, PATTERNS[kind], HINTS[kind]), lambda s: valid(kind, s["surface"]))
     return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["surface"].alias("surface")))
@@ -129,7 +139,7 @@ def with_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text hash, ``base`` spans, and ``instances``: seeds and candidates with their contexts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    loose = located(F.col("text"), LOOSE, LOOSE_HINT)
+    loose = loose_spans(F.col("text"))
     df = df.withColumn("loose", F.filter(loose, lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
     shape = lambda s, kind: F.struct(kind.alias("kind"), form(s["surface"]).alias("form"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["surface"]).alias("surface"), contexts(F.col("text"), s["start"], s["stop"]).alias("contexts"))
     seeds = F.transform("base", lambda s: shape(s, s["kind"]))
@@ -237,6 +247,11 @@ def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed forms alone, as ``op3_bootstrapped_pii`` finds them: what SQL can say of its result."""
+    return op3_bootstrapped_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256")
+
+
 def mask_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with every span in ``text_col`` replaced by its kind; null texts stay null.
 
