@@ -1,14 +1,13 @@
-"""The ten operators' queries, the pipeline, and what SQL can say of them."""
+"""The ten operators' queries, and what SQL can say of them."""
 
 from __future__ import annotations
 
-from corpus_pipeline import ORACLE_SQL, run
 from goldweave.llm.chat import OP6_SQL, op6_chat_round_trip
 from goldweave.llm.decontaminate import op7_decontaminate
 from goldweave.llm.langid import op10_language_bitmask
 from goldweave.llm.neardup import op2_bagminhash
 from goldweave.llm.packing import op5_hilbert_packing
-from goldweave.llm.pii import op3_bootstrapped_pii
+from goldweave.llm.pii import op3_bootstrapped_pii, personal_data_base
 from goldweave.llm.shards import OP1_SQL, op1_hilbert_shards
 from goldweave.llm.token_counts import op8_token_counts
 from goldweave.llm.topk import op9_block_topk
@@ -28,7 +27,7 @@ QUERIES = {
         op9_block_topk,
         op10_language_bitmask,
     )
-} | {"pipeline": run}
+} | {"personal_data_base": personal_data_base}
 
 OP9_SQL = """
 WITH v AS (
@@ -67,4 +66,25 @@ r(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.b, r.root FROM r JOI
 SELECT doc_id, class_id FROM documents LEFT JOIN (SELECT id, min(root) AS class_id FROM r GROUP BY id) c ON doc_id = c.id
 """
 
-ORACLE = {"op1_hilbert_shards": OP1_SQL, "op2_bagminhash": OP2_SQL, "op6_chat_round_trip": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_block_topk": OP9_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+
+def _kind_sql(kind: str, pattern: str, good: str) -> str:
+    """(rid, kind, start, stop) of a pattern's valid matches: their places are the lengths of all that stands before them."""
+    return f"""SELECT rid, '{kind}' AS kind, CAST(coalesce(list_sum(list_transform(between[1 : i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, found[i] AS surface
+    FROM (SELECT rid, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS between FROM d), unnest(range(1, len(found) + 1)) AS u(i) WHERE {good.replace("{s}", "found[i]")}"""
+
+
+_DIGITS = "regexp_replace({s}, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda p: CASE WHEN p % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), p, 1) AS INT) ELSE CAST(substr(reverse({_DIGITS}), p, 1) AS INT) * 2 - CASE WHEN CAST(substr(reverse({_DIGITS}), p, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+PERSONAL_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
+s AS (
+  {_kind_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE")}
+  UNION ALL {_kind_sql("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split({s}, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0")}
+  UNION ALL {_kind_sql("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}")}
+  UNION ALL {_kind_sql("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")}
+), a AS (SELECT rid, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS p,
+  string_agg(kind || ':' || start || ':' || (start + length(surface)), ',' ORDER BY list_position(['email', 'ip', 'card', 'phone'], kind), start) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN a USING (rid)
+"""
+
+ORACLE = {"op1_hilbert_shards": OP1_SQL, "op2_bagminhash": OP2_SQL, "op6_chat_round_trip": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_block_topk": OP9_SQL, "personal_data_base": PERSONAL_SQL}
