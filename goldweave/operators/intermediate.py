@@ -13,8 +13,8 @@ import uuid
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of this process's applications, with a session to delete them through.
-_FOLDERS: dict[str, SparkSession] = {}
+#: Folders of this process's applications, with the JVM and its configuration, which outlive a session.
+_FOLDERS: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +42,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/goldweave-{spark.sparkContext.applicationId}"
     if not _FOLDERS:
         atexit.register(clean)
-    _FOLDERS[folder] = spark
+    _FOLDERS[folder] = (spark._jvm, spark._jsc.hadoopConfiguration())
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -53,19 +53,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Delete what ``materialise`` wrote for these frames; nothing may read them, or what was made from them, any more."""
     for df in frames:
-        _delete(df.sparkSession, df._goldweave_path)
+        spark = df.sparkSession
+        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), df._goldweave_path)
 
 
 def clean() -> None:
     """Delete everything that this process's applications wrote down; runs by itself when the process ends."""
-    for folder, spark in list(_FOLDERS.items()):
+    for folder, (jvm, conf) in list(_FOLDERS.items()):
         try:
-            _delete(spark, folder)
+            _delete(jvm, conf, folder)
         except (Py4JError, OSError):  # the JVM is gone already
             pass
         del _FOLDERS[folder]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def _delete(jvm, conf, path: str) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
