@@ -435,7 +435,7 @@ def gated_outputs(spark: SparkSession, d: str) -> DataFrame:
     return pipeline(spark, d, GATES).deltas("sink").changes().select("what", "entity", "id", "before", "ask")
 
 
-@query(_GATES + " SELECT count(*) AS n, sum(CASE WHEN kind = 'lead' THEN 1 ELSE 0 END) AS asked FROM j WHERE id IS NOT NULL AND kind <> 'buyer' AND sname = name")
+@query(_GATES + " SELECT count(*) AS n, CAST(sum(CASE WHEN kind = 'lead' THEN 1 ELSE 0 END) AS BIGINT) AS asked FROM j WHERE id IS NOT NULL AND kind <> 'buyer' AND sname = name")
 def gated_noops(spark: SparkSession, d: str) -> DataFrame:
     """What changes nothing needs no confirmation: the rule holds for as many noops, and none asks."""
     pipe = pipeline(spark, d, GATES)
