@@ -148,7 +148,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 256,
     length than the query's don't meet it.  The vectors are never exchanged:
     the stated queries go to them in slices of ``slice_bytes`` at most, one
     pass over the vectors for each, and a task sends on k rows of a query at
-    most.  ``sample_rows`` rows only set the score at which a task may begin to
+    most.  ``sample_rows`` rows at most only set the score at which a task may begin to
     skip blocks; every row is met.  Repeated rows are candidates of their own;
     a repeated query is asked once, and different vectors of one id are
     different queries.  Queries without any candidate have no row.
@@ -158,7 +158,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 256,
     stats = queries.agg(F.count("*").alias("n"), F.sum(F.size("v") * 8 + 16).alias("bytes")).first()
     slices = max(1, -(-(stats["bytes"] or 0) // slice_bytes))
     schema = "query_id long, asked long, vec_id long, score long"
-    sample = vectors.limit(sample_rows).toArrow() if stats["n"] else None
+    # as many rows as slice_bytes hold, if those are fewer
+    sample = vectors.limit(min(sample_rows, slice_bytes * stats["n"] // stats["bytes"])).toArrow() if stats["n"] else None
     found = None
     for part in range(slices):
         # a hash of id and vector splits evenly, so a slice stays near slice_bytes
