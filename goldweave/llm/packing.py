@@ -7,8 +7,6 @@ neighbours along the curve share sequences.
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,48 +20,11 @@ from pyspark.sql import functions as F
 
 from goldweave.llm.common import in_arrow, materialise, table
 from goldweave.llm.shards import hilbert_index
-from goldweave.llm.token_counts import _tokenizer, default_tokenizer, safe_pieces
+from goldweave.llm.token_counts import LONGEST, _tokenizer, default_tokenizer, is_plain, rank_encoder, safe_pieces
 
 SEQUENCE = 1024
 DIMENSIONS = 3
 BITS = 6
-#: Texts of these characters only are cut into pre-tokens alike by both encoders, whatever Unicode version each has.
-PLAIN = re.compile(r"[\t\n\r -~¡-ɏ‐-‧€]*\Z")
-#: Longest text without a safe boundary that the rank encoder is given.
-LONGEST = 1 << 15
-
-
-def _byte_letters() -> dict[str, int]:
-    """The printable stand-ins that byte-level BPE vocabularies use, by byte."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in printable}
-    others = [b for b in range(256) if b not in printable]
-    return letters | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-@lru_cache(maxsize=2)
-def rank_encoder(path: str):
-    """An encoder by merge ranks with the same vocabulary file as ``tokenizers``; several times as fast.
-
-    Only for byte-level BPE files whose ids follow the merge order; None for any other.
-    """
-    import public_tokenizers
-    import tiktoken
-
-    spec = json.loads(open(path, encoding="utf-8").read())
-    if spec["model"].get("type") != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
-        return None
-    letters = _byte_letters()
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
-    vocab = spec["model"]["vocab"]
-    ids = [vocab[m.replace(" ", "")] for m in merges]
-    if ids != sorted(ids):
-        return None
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids as ``tokenizers`` gives them, without added special tokens.
 
@@ -75,7 +36,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     for t in texts:
         parts = []
         for p in safe_pieces(t, LONGEST):
-            if fast is not None and len(p) < 4 * LONGEST and PLAIN.match(p):
+            if fast is not None and is_plain(p):
                 parts.append(fast.encode_to_numpy(p, allowed_special="all"))
             else:
                 parts.append(np.array(slow.encode(p, add_special_tokens=False).ids, dtype=np.uint32))

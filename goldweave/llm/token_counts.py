@@ -1,11 +1,14 @@
 """Token counts: batch encoding in an Arrow function that returns lengths only.
 
 Batches are balanced by bytes, and a long text is cut where the tokenizer's
-own pre-tokenisation cuts it in any case, so its count stays exact.
+own pre-tokenisation cuts it in any case, so its count stays exact.  Texts of
+plain characters are encoded by the merge ranks of the same vocabulary file,
+which gives the same ids several times as fast; all others by the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -54,6 +57,52 @@ def _sentencepiece(path: str):
     return model, same and not inside
 
 
+#: Texts of these characters only are cut into pre-tokens alike by both encoders, whatever Unicode version each has.
+PLAIN = re.compile(r"[\t\n\r -~¡-ɏ‐-‧€]*\Z")
+#: Longest text without a safe boundary that the rank encoder is given.
+LONGEST = 1 << 15
+
+
+def _byte_letters() -> dict[str, int]:
+    """The printable stand-ins that byte-level BPE vocabularies use, by byte."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in printable}
+    others = [b for b in range(256) if b not in printable]
+    return letters | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def is_plain(text: str) -> bool:
+    """May the rank encoder be given this text?"""
+    return len(text) < 4 * LONGEST and PLAIN.match(text) is not None
+
+
+@lru_cache(maxsize=2)
+def rank_encoder(path: str):
+    """An encoder by merge ranks with the same vocabulary file as ``tokenizers``; several times as fast.
+
+    Only for byte-level BPE files whose ids follow the merge order, and that
+    agree with the library on a few probes; None for any other.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    spec = json.loads(open(path, encoding="utf-8").read())
+    if spec["model"].get("type") != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
+        return None
+    letters = _byte_letters()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+    vocab = spec["model"]["vocab"]
+    ids = [vocab[m.replace(" ", "")] for m in merges]
+    if ids != sorted(ids):
+        return None
+    fast, library = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), _tokenizer(path)
+    probes = ["", " ", "Word", " word  two\n\n three\t", "it's we'll 12 345,67", "\u00fcn\u00ef \u00d8\u2026\u201cq\u201d"] + [x for t in special for x in (t, f"a{t}b", f" a {t} b")]
+    same = all(fast.encode(p, allowed_special="all") == library.encode(p, add_special_tokens=False).ids for p in probes)
+    return fast if same else None
+
+
 def safe_pieces(text: str, limit: int, boundary: re.Pattern = SAFE_CUT) -> list[str]:
     """``text`` cut at safe boundaries into pieces of about ``limit`` characters.
 
@@ -71,19 +120,22 @@ def safe_pieces(text: str, limit: int, boundary: re.Pattern = SAFE_CUT) -> list[
 
 
 def _lengths(path: str, texts: list[str], piece_chars: int, batch_bytes: int) -> list[int]:
+    counts = [0] * len(texts)
     if path.endswith(".model"):
         model, divisible = _sentencepiece(path)
-        cut = (lambda t: safe_pieces(t, piece_chars, ASCII_CUT)) if divisible else (lambda t: [t])
+        fast, cut = None, (lambda t: safe_pieces(t, piece_chars, ASCII_CUT)) if divisible else (lambda t: [t])
         encode = lambda part: model.encode(part, num_threads=1)
     else:
-        cut = lambda t: safe_pieces(t, piece_chars)
+        fast, cut = rank_encoder(path), lambda t: safe_pieces(t, min(piece_chars, LONGEST))
         encode = lambda part: _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)
     pieces, owner = [], []
     for i, t in enumerate(texts):
         for p in cut(t):
-            pieces.append(p)
-            owner.append(i)
-    counts = [0] * len(texts)
+            if fast is not None and is_plain(p):
+                counts[i] += len(fast.encode_to_numpy(p, allowed_special="all"))
+            else:
+                pieces.append(p)
+                owner.append(i)
     for a, b in byte_runs((len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in pieces), batch_bytes):
         for i, x in zip(owner[a:b], encode(pieces[a:b]), strict=True):
             counts[i] += len(x)
