@@ -137,12 +137,12 @@ FLAT_QTY = "CASE WHEN (CAST(order_id AS BIGINT) + line_key) % 3 = 1 THEN qty + 1
 
 
 def nested(spark: SparkSession, sf_dir: str, elements: str = "") -> Pipeline:
-    """A shop whose orders hold their lines, and a warehouse with a row for each line; written down as the tables that real systems are."""
+    """A shop whose orders hold their lines, and a warehouse with a row for each line; written down in several files, as the tables of real systems are."""
     rows = materialise(system(spark, sf_dir, NUMBERED), "numbered_lines")
     lists = rows.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("line_key", "part", "qty"))).alias("lines"))
     orders = system(spark, sf_dir, "SELECT CAST(o_orderkey AS STRING) AS order_id, CAST(o_custkey AS STRING) AS buyer FROM {orders}")
     flat = rows.where(FLAT).select(F.concat_ws("-", "order_id", "line_key").alias("line_id"), F.col("order_id").alias("order_number"), "line_key", "part", F.expr(FLAT_QTY).alias("qty"))
-    return Pipeline(parse(NESTED % elements), {"shop": materialise(orders.join(lists, "order_id", "left"), "shop"), "wms": flat})
+    return Pipeline(parse(NESTED % elements), {"shop": materialise(orders.repartition(spark.sparkContext.defaultParallelism).join(lists, "order_id", "left"), "shop"), "wms": flat})
 
 
 def _state(spark: SparkSession, sf_dir: str) -> Pipeline:
