@@ -20,18 +20,19 @@ from pyspark.sql import functions as F
 
 from goldweave.llm.common import in_arrow, materialise, table
 from goldweave.llm.shards import hilbert_index
-from goldweave.llm.token_counts import LONGEST, _tokenizer, default_tokenizer, is_plain, rank_encoder, safe_pieces
+from goldweave.llm.token_counts import LONGEST, _tokenizer, by_ranks, default_tokenizer, is_plain, rank_encoder, safe_pieces
 
 SEQUENCE = 1024
 DIMENSIONS = 3
 BITS = 6
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
+def encode(texts: list[str], path: str, ranked: bool) -> list[np.ndarray]:
     """Ids as ``tokenizers`` gives them, without added special tokens.
 
     Plain texts go through the rank encoder; other characters and very long
-    texts without a boundary go through ``tokenizers`` itself.
+    texts without a boundary, and all where the file isn't ``ranked``, go through
+    ``tokenizers`` itself.
     """
-    fast, slow = rank_encoder(path), _tokenizer(path)
+    fast = rank_encoder(path) if ranked else None
     out = []
     for t in texts:
         parts = []
@@ -39,7 +40,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
             if fast is not None and is_plain(p):
                 parts.append(fast.encode_to_numpy(p, allowed_special="all"))
             else:
-                parts.append(np.array(slow.encode(p, add_special_tokens=False).ids, dtype=np.uint32))
+                parts.append(np.array(_tokenizer(path).encode(p, add_special_tokens=False).ids, dtype=np.uint32))
         out.append((parts[0] if len(parts) == 1 else np.concatenate(parts)).astype("<u4", copy=False))
     return out
 
@@ -65,12 +66,13 @@ def document_pieces(df: DataFrame, path: str, id_col: str, text_col: str, eos: i
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    ranked = by_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = _signs(DIMENSIONS)
         for b in batches:
             pieces, tokens, place = [], [], []
-            for ids in encode(b.column("text").to_pylist(), path):
+            for ids in encode(b.column("text").to_pylist(), path, ranked):
                 place.append([float(signs[d][ids & 0x1FFFF].mean()) if len(ids) else 0.0 for d in range(DIMENSIONS)])
                 ids = np.append(ids, np.uint32(eos)).astype("<u4")
                 tokens.append(len(ids))

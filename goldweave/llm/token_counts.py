@@ -80,8 +80,7 @@ def is_plain(text: str) -> bool:
 def rank_encoder(path: str):
     """An encoder by merge ranks with the same vocabulary file as ``tokenizers``; several times as fast.
 
-    Only for byte-level BPE files whose ids follow the merge order, and that
-    agree with the library on a few probes; None for any other.
+    Only for byte-level BPE files whose ids follow the merge order; None for any other.
     """
     import public_tokenizers
     import tiktoken
@@ -97,10 +96,21 @@ def rank_encoder(path: str):
     ids = [vocab[m.replace(" ", "")] for m in merges]
     if ids != sorted(ids):
         return None
-    fast, library = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), _tokenizer(path)
-    probes = ["", " ", "Word", " word  two\n\n three\t", "it's we'll 12 345,67", "\u00fcn\u00ef \u00d8\u2026\u201cq\u201d"] + [x for t in special for x in (t, f"a{t}b", f" a {t} b")]
-    same = all(fast.encode(p, allowed_special="all") == library.encode(p, add_special_tokens=False).ids for p in probes)
-    return fast if same else None
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+@lru_cache(maxsize=4)
+def by_ranks(path: str) -> bool:
+    """Does a vocabulary file have a rank encoder, and do its ids equal the library's on a few probes?
+
+    Asked once, on the driver: the tasks then load the library only for texts that need it.
+    """
+    fast = None if path.endswith(".model") else rank_encoder(path)
+    if fast is None:
+        return False
+    probes = ["", " ", "Word", " word  two\n\n three\t", "it's we'll 12 345,67", "\u00fcn\u00ef \u00d8\u2026\u201cq\u201d"]
+    probes += [x for t in fast.special_tokens_set for x in (t, f"a{t}b", f" a {t} b")]
+    return all(fast.encode(p, allowed_special="all") == _tokenizer(path).encode(p, add_special_tokens=False).ids for p in probes)
 
 
 def safe_pieces(text: str, limit: int, boundary: re.Pattern = SAFE_CUT) -> list[str]:
@@ -119,14 +129,14 @@ def safe_pieces(text: str, limit: int, boundary: re.Pattern = SAFE_CUT) -> list[
     return pieces
 
 
-def _lengths(path: str, texts: list[str], piece_chars: int, batch_bytes: int) -> list[int]:
+def _lengths(path: str, texts: list[str], piece_chars: int, batch_bytes: int, ranked: bool = False) -> list[int]:
     counts = [0] * len(texts)
     if path.endswith(".model"):
         model, divisible = _sentencepiece(path)
         fast, cut = None, (lambda t: safe_pieces(t, piece_chars, ASCII_CUT)) if divisible else (lambda t: [t])
         encode = lambda part: model.encode(part, num_threads=1)
     else:
-        fast, cut = rank_encoder(path), lambda t: safe_pieces(t, min(piece_chars, LONGEST))
+        fast, cut = rank_encoder(path) if ranked else None, lambda t: safe_pieces(t, min(piece_chars, LONGEST))
         encode = lambda part: _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)
     pieces, owner = [], []
     for i, t in enumerate(texts):
@@ -153,12 +163,13 @@ def count_tokens(
     tokenizer; neither changes a count.
     """
     path = tokenizer_path or default_tokenizer()
+    ranked = by_ranks(path)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = _lengths(path, b.column("text").to_pylist(), piece_chars, batch_bytes)
+            counts = _lengths(path, b.column("text").to_pylist(), piece_chars, batch_bytes, ranked)
             ids = b.column("id")
             schema = pa.schema([("id", ids.type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
             yield out_batch(schema, id=ids, n_bytes=b.column("n_bytes"), n_tokens=counts)

@@ -144,7 +144,11 @@ def test_ranks_agree_with_the_library():
     path = packing.default_tokenizer()
     slow = packing._tokenizer(path)
     texts = ["", " ", "a  b", "it's  \n\n x", "<|endoftext|> a<|endoftext|>", "é" * 50 + " 12 345", "\t\r\n a", "日本語 text", "a\u2028b\x85c\x1cd", "𝔘 n", "x" * 70000, "word " * 30000, "…“q”–—'ll we're"]
-    assert [e.tolist() for e in packing.encode(texts, path)] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert token_counts.by_ranks(path)
+    for ranked in (True, False):
+        assert [e.tolist() for e in packing.encode(texts, path, ranked)] == want
+        assert token_counts._lengths(path, texts, 1 << 16, 1 << 19, ranked) == [len(w) for w in want]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
