@@ -31,7 +31,7 @@ SYSTEMS = {
     "nations": "SELECT CAST(n_nationkey AS STRING) AS nk, n_name AS title FROM {nation}",
     "countries": "SELECT 'N' || CAST(n_nationkey AS STRING) AS code, n_name AS name FROM {nation}",
     "parts": "SELECT CAST(p_partkey AS STRING) AS pk, p_name AS name, p_brand AS brand, p_type AS type, CAST(p_size AS STRING) AS size FROM {part}",
-    "lines": """SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS STRING) AS id, CAST(l_orderkey AS STRING) AS o, CAST(l_linenumber AS STRING) AS n,
+    "lines": """SELECT CAST(l_orderkey AS STRING) || '-' || CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS STRING) AS id, CAST(l_orderkey AS STRING) AS o, CAST(l_linenumber AS STRING) AS n,
       CAST(l_partkey AS STRING) AS part, CAST(CAST(l_quantity AS INT) AS STRING) AS qty FROM {lineitem}""",
     "logs": "SELECT CAST(event_id AS STRING) AS id, CAST(user_id AS STRING) AS usr, event_type AS type, CASE WHEN event_type = 'error' THEN 'true' ELSE 'false' END AS bad, CAST(event_id % 1000 AS STRING) AS score, props AS doc FROM {events}",
 }
