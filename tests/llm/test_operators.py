@@ -8,9 +8,8 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from goldweave.llm import chat, decontaminate, langid, neardup, packing, pii, shards, token_counts, topk, toxicity
+from goldweave.llm import neardup, packing, shards, token_counts, toxicity
 from goldweave.llm.queries import ORACLE, QUERIES
 from tests.llm import brute
 
